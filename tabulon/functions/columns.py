@@ -40,6 +40,11 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text_literal(text: str) -> str:
+    """Text as an SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name: str) -> Column:
     """Column by exact name, dots and blanks included."""
     return F.col(quote(name))
@@ -69,6 +74,15 @@ def names_where(df: DataFrame, test) -> list[str]:
     return [f.name for f in df.schema.fields if test(f.dataType)]
 
 
+# What counts as a number in text.  Testing the shape first spares a failed cast,
+# which costs an exception per cell.
+NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
+def text_number(column: Column) -> Column:
+    return F.when(column.rlike(NUMBER_SHAPE), column.try_cast("double"))
+
+
 def to_number(column: Column, dtype: T.DataType | None = None) -> Column:
     """Number or null; NaN counts as missing."""
     if dtype is not None and is_number(dtype) and not isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -77,12 +91,32 @@ def to_number(column: Column, dtype: T.DataType | None = None) -> Column:
         return column.cast("int").cast("double")
     if dtype is not None and is_time(dtype):
         return F.lit(None).cast("double")
-    number = column.cast("double") if dtype is not None and is_number(dtype) else column.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    if dtype is not None and is_number(dtype):
+        value = column.cast("double")
+        return F.when(~F.isnan(value), value)
+    return text_number(column.cast("string"))
+
+
+def number_sql(df: DataFrame, name: str) -> str:
+    """SQL text of a column as a number or null (NaN counts as missing).
+
+    Wide aggregates are assembled as SQL text: one call per expression instead of
+    one per operator.
+    """
+    ref, dtype = quote(name), type_of(df, name)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return f"nanvl(cast({ref} as double), cast(null as double))"
+    if is_number(dtype):
+        return f"cast({ref} as double)"
+    if is_flag(dtype):
+        return f"cast(cast({ref} as int) as double)"
+    if is_text(dtype):
+        return f"case when {ref} rlike r'{NUMBER_SHAPE}' then try_cast({ref} as double) end"
+    return "cast(null as double)"
 
 
 def number(df: DataFrame, name: str) -> Column:
-    return to_number(col(name), type_of(df, name))
+    return F.expr(number_sql(df, name))
 
 
 def clean_number(column: Column) -> Column:
@@ -93,24 +127,39 @@ def clean_number(column: Column) -> Column:
 def parse_num(column: Column) -> Column:
     """Keep digits, dot and minus, read the rest as a number, 0 when that fails."""
     kept = F.regexp_replace(column.cast("string"), "[^0-9.-]", "")
-    return F.coalesce(kept.try_cast("double"), F.lit(0.0))
+    return F.coalesce(text_number(kept), F.lit(0.0))
 
 
-def to_time(column: Column, dtype: T.DataType | None = None) -> Column:
-    """Timestamp without zone from a date, a timestamp or text in a common layout; else null."""
-    if dtype is not None and is_time(dtype):
-        return column.cast("timestamp_ntz")
+# Layouts of dates in text, tried in this order.
+TIME_LAYOUTS = (
+    "yyyy-M-d HH:mm:ss", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d.M.yyyy",
+)
+
+
+def text_time_sql(ref: str) -> str:
+    """SQL text that reads a date or timestamp in a common layout, else null."""
+    tries = [f"try_cast(trim({ref}) as timestamp_ntz)"]
+    tries += [f"cast(try_to_timestamp(trim({ref}), '{layout}') as timestamp_ntz)" for layout in TIME_LAYOUTS]
+    return f"coalesce({', '.join(tries)})"
+
+
+def time_sql(df: DataFrame, name: str) -> str:
+    ref, dtype = quote(name), type_of(df, name)
+    if is_time(dtype):
+        return f"cast({ref} as timestamp_ntz)"
+    return text_time_sql(f"cast({ref} as string)")
+
+
+def to_time(column: Column) -> Column:
+    """Timestamp without zone from text in a common layout; else null."""
     text = F.trim(column.cast("string"))
-    layouts = (
-        "yyyy-M-d HH:mm:ss", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d.M.yyyy",
-    )
     tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in layouts]
+    tries += [F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in TIME_LAYOUTS]
     return F.coalesce(*tries)
 
 
 def time_of(df: DataFrame, name: str) -> Column:
-    return to_time(col(name), type_of(df, name))
+    return F.expr(time_sql(df, name))
 
 
 def normalise_nulls(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, half_even, is_text, number, time_of, type_of
+from ..functions.columns import col, half_even, is_text, number, number_sql, quote, text_literal, time_sql, type_of
 from .ordering import first_per_group
 from .quantiles import column_quantiles
 from .types import type_map
@@ -23,8 +23,8 @@ SAMPLES = 5
 def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``column, value, n``: how often each value occurs, as text, nulls left out."""
     names = list(columns)
-    texts = df.select(*[col(c).cast("string").alias(c) for c in names])
-    long = texts.unpivot([], [col(c) for c in names], "column", "value")
+    pairs = ", ".join(f"{text_literal(c)}, cast({quote(c)} as string)" for c in names)
+    long = df.selectExpr(f"stack({len(names)}, {pairs}) as (column, value)")
     return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -40,61 +40,43 @@ def profile(df: DataFrame, types: dict[str, dict] | None = None, exact: bool = T
     dated = [c for c in names if types[c]["data_type"] == "datetime"]
     edges = column_quantiles(df, {c: number(df, c) for c in numeric}, [0.25, 0.5, 0.75])
 
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs = ["count(1) as rows"]
+    rows = []
     for i, c in enumerate(names):
-        aggs.append(F.count_if(col(c).isNull()).alias(f"nulls{i}"))
+        ref = quote(c)
+        aggs.append(f"count_if({ref} is null) as nulls{i}")
+        facts = {
+            "ordinal": str(i), "column": text_literal(c), "data_type": text_literal(types[c]["data_type"]),
+            "sql_type": text_literal(types[c]["sql_type"]), "rows": "rows", "null_count": f"nulls{i}",
+            "null_pct": f"bround(100.0D * nulls{i} / greatest(rows, 1), 2)",
+        }
         if not exact:
-            aggs.append(F.approx_count_distinct(col(c)).alias(f"distinct{i}"))
+            aggs.append(f"approx_count_distinct({ref}) as distinct{i}")
+        facts |= dict.fromkeys(("min", "max", "mean", "std", "q25", "median", "q75"), "cast(null as double)")
+        facts["outliers"] = "cast(null as bigint)"
+        facts |= dict.fromkeys(("min_date", "max_date"), "cast(null as string)")
         if c in numeric:
-            value = number(df, c)
+            value = number_sql(df, c)
             aggs += [
-                F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"), F.avg(value).alias(f"mean{i}"),
-                F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias(f"std{i}"),
+                f"min({value}) as min{i}", f"max({value}) as max{i}", f"avg({value}) as mean{i}",
+                f"coalesce(stddev_samp({value}), 0.0D) as std{i}",
             ]
-            low, high = iqr_fences(edges[c])
-            if low is not None:
-                aggs.append(F.count_if((value < low) | (value > high)).alias(f"out{i}"))
+            facts |= {s: f"bround({s}{i}, 2)" for s in ("min", "max", "mean", "std")}
+            if edges[c][0] is not None:
+                low, high = iqr_fences(edges[c])
+                aggs.append(f"count_if({value} < {low!r}D or {value} > {high!r}D) as out{i}")
+                facts["outliers"] = f"out{i}"
+                facts |= {s: f"bround({v!r}D, 2)" for s, v in zip(("q25", "median", "q75"), edges[c])}
         elif c in dated:
-            moment = time_of(df, c)
-            aggs += [F.min(moment).alias(f"first{i}"), F.max(moment).alias(f"last{i}")]
-    facts = df.agg(*aggs)
-
-    none_d, none_s, none_l = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("long")
-    rows = []
-    for i, c in enumerate(names):
-        is_num, is_date = c in numeric, c in dated
-        q = edges.get(c) or [None, None, None]
-
-        def stat(name, i=i, is_num=is_num):
-            return half_even(F.col(f"{name}{i}"), 2) if is_num else none_d
-
-        def quartile(k, q=q):
-            return half_even(F.lit(q[k]).cast("double"), 2) if q[k] is not None else none_d
-
-        iso = "yyyy-MM-dd'T'HH:mm:ss"
-        rows.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(c).alias("column"),
-                F.lit(types[c]["data_type"]).alias("data_type"),
-                F.lit(types[c]["sql_type"]).alias("sql_type"),
-                F.col("rows"),
-                F.col(f"nulls{i}").alias("null_count"),
-                half_even(100.0 * F.col(f"nulls{i}") / F.greatest(F.col("rows"), F.lit(1)), 2).alias("null_pct"),
-                stat("min").alias("min"),
-                stat("max").alias("max"),
-                stat("mean").alias("mean"),
-                stat("std").alias("std"),
-                quartile(0).alias("q25"),
-                quartile(1).alias("median"),
-                quartile(2).alias("q75"),
-                (F.col(f"out{i}") if is_num and q[0] is not None else none_l).alias("outliers"),
-                (F.date_format(f"first{i}", iso) if is_date else none_s).alias("min_date"),
-                (F.date_format(f"last{i}", iso) if is_date else none_s).alias("max_date"),
-                (F.col(f"distinct{i}") if not exact else none_l).alias("sketched"),
-            )
-        )
-    base = facts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            moment = time_sql(df, c)
+            aggs += [f"min({moment}) as first{i}", f"max({moment}) as last{i}"]
+            iso = "\"yyyy-MM-dd'T'HH:mm:ss\""
+            facts["min_date"] = f"date_format(first{i}, {iso})"
+            facts["max_date"] = f"date_format(last{i}, {iso})"
+        facts["sketched"] = f"distinct{i}" if not exact else "cast(null as bigint)"
+        rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in facts.items()) + ")")
+    base = df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
+    none_s, none_l = F.lit(None).cast("string"), F.lit(None).cast("long")
     worded = [c for c in names if types[c]["data_type"] in ("categorical", "text")]
     if exact:
         extra = frequency_facts(value_counts(df, names))

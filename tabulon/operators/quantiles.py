@@ -43,12 +43,12 @@ def column_quantiles(
     if not names:
         return {}
     data = df.select(*[columns[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    counts = data.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(len(names))]).first()
+    counts = data.selectExpr(*[f"count(c{i}) as c{i}" for i in range(len(names))]).first()
     result: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
     small = [i for i in range(len(names)) if 0 < counts[i] <= limit]
     if small:
-        plist = F.array(*[F.lit(float(p)) for p in probs])
-        row = data.agg(*[F.percentile(f"c{i}", plist).alias(f"c{i}") for i in small]).first()
+        plist = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+        row = data.selectExpr(*[f"percentile(c{i}, {plist}) as c{i}" for i in small]).first()
         for i in small:
             result[names[i]] = list(row[f"c{i}"])
     large = [i for i in range(len(names)) if counts[i] > limit]

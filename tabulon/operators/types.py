@@ -11,9 +11,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
-    BLANK_WORDS, col, is_flag, is_number, is_text, is_time, names_where, to_number, to_time, type_of,
+    BLANK_WORDS, NUMBER_SHAPE, col, is_flag, is_number, is_text, is_time, names_where, number_sql, quote, text_literal,
+    text_time_sql, to_number, to_time, type_of,
 )
 
 # Texts that may stand for a boolean.
@@ -22,69 +24,58 @@ FLAG_WORDS = ("true", "false", "True", "False", "0", "1", "yes", "no", "Y", "N")
 DATE_SHAPE = r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"
 
 
-def looks_like_date(column: Column) -> Column:
-    text = F.trim(column)
-    return (F.length(text) >= 8) & text.rlike(DATE_SHAPE)
-
-
-def _dates(column: Column) -> Column:
-    return F.when(looks_like_date(column), to_time(column))
-
-
-def _known(column: Column) -> Column:
-    """Text that is neither null nor a blank word."""
-    return F.when(~F.lower(F.trim(column)).isin(*BLANK_WORDS), F.trim(column))
-
-
-def _facts(df: DataFrame, name: str) -> dict[str, Column]:
-    """Aggregates that decide one column's type."""
-    c, dtype = col(name), type_of(df, name)
-    facts = {"values": F.count(c)}
+def _facts(df: DataFrame, name: str) -> dict[str, str]:
+    """Aggregates that decide one column's type, as SQL text."""
+    ref, dtype = quote(name), type_of(df, name)
+    facts = {"values": f"count({ref})"}
     if is_text(dtype):
-        words = F.array(*[F.lit(w) for w in FLAG_WORDS])
-        spot = F.array_position(words, c).cast("int")
+        words = ", ".join(f"'{w}'" for w in FLAG_WORDS)
+        blanks = ", ".join(f"'{w}'" for w in BLANK_WORDS)
+        value = f"case when {ref} rlike r'{NUMBER_SHAPE}' then try_cast({ref} as double) end"
+        dated = f"length(trim({ref})) >= 8 and trim({ref}) rlike r'{DATE_SHAPE}'"
+        known = f"case when lower(trim({ref})) not in ({blanks}) then {ref} end"
         facts |= {
             # bit 0: some other word; bits 1..10: words seen
-            "words": F.bit_or(F.call_function("shiftleft", F.lit(1), spot)),
-            "dates": F.count(_dates(c)),
-            "numbers": F.count(to_number(F.trim(c))),
-            "digit": F.bool_or(_known(c).rlike("[0-9]")),
-            "letter": F.bool_or(_known(c).rlike("[A-Za-z]")),
-            "whole": F.bool_and(to_number(F.trim(c)) % 1 == 0),
+            "words": f"bit_or(shiftleft(1, cast(array_position(array({words}), {ref}) as int)))",
+            "dates": f"count(case when {dated} then {text_time_sql(ref)} end)",
+            "numbers": f"count({value})",
+            "digit": f"bool_or({known} rlike '[0-9]')",
+            "letter": f"bool_or({known} rlike '[A-Za-z]')",
+            "whole": f"bool_and(floor({value}) = {value})",
         }
     elif is_number(dtype):
-        value = to_number(c, dtype)
-        facts |= {"binary": F.bool_and(value.isin(0.0, 1.0)), "whole": F.bool_and(value % 1 == 0)}
-        facts["values"] = F.count(value)
+        value = number_sql(df, name)
+        whole = "true" if isinstance(dtype, T.IntegralType) else f"floor({ref}) = {ref}"
+        facts |= {
+            "values": f"count({value})", "binary": f"bool_and({ref} in (0, 1))", "whole": f"bool_and({whole})",
+        }
     return facts
 
 
-def _verdict(df: DataFrame, name: str, get) -> tuple[Column, Column, Column]:
-    """(data_type, sql_type, is_mixed) from the aggregates."""
+def _verdict(df: DataFrame, name: str, i: int) -> tuple[str, str, str]:
+    """(data_type, sql_type, is_mixed) from the aggregates ``f<i>_<fact>``, as SQL text."""
     dtype = type_of(df, name)
-    empty = get("values") == 0
-    no = F.lit(False)
+    empty = f"f{i}_values = 0"
+    mixed, whole = "false", "false"
     if is_text(dtype):
-        flag = (F.getbit(get("words").cast("long"), F.lit(0)) == 0) & (F.bit_count(get("words")) <= 2)
-        share = get("dates") >= 0.8 * get("values")
-        dated = share & (get("dates") >= 8)
-        mixed = ~empty & ~flag & ~share & get("digit") & get("letter")
-        mixed = F.coalesce(mixed, no)
+        flag = f"(getbit(cast(f{i}_words as bigint), 0) = 0 and bit_count(f{i}_words) <= 2)"
+        share = f"f{i}_dates >= 0.8 * f{i}_values"
+        mixed = f"coalesce(not ({empty}) and not {flag} and not ({share}) and f{i}_digit and f{i}_letter, false)"
+        whole = f"f{i}_whole"
         kind = (
-            F.when(empty, "categorical").when(flag, "boolean").when(dated, "datetime").when(mixed, "text")
-            .when(get("numbers") == get("values"), "numerical").otherwise("categorical")
+            f"case when {empty} then 'categorical' when {flag} then 'boolean' "
+            f"when {share} and f{i}_dates >= 8 then 'datetime' when {mixed} then 'text' "
+            f"when f{i}_numbers = f{i}_values then 'numerical' else 'categorical' end"
         )
     elif is_number(dtype):
-        mixed = no
-        kind = F.when(empty, "categorical").when(get("binary"), "boolean").otherwise("numerical")
+        whole = f"f{i}_whole"
+        kind = f"case when {empty} then 'categorical' when f{i}_binary then 'boolean' else 'numerical' end"
     else:
-        mixed = no
         fixed = "boolean" if is_flag(dtype) else "datetime" if is_time(dtype) else "categorical"
-        kind = F.when(empty, "categorical").otherwise(fixed)
-    whole = get("whole") if is_text(dtype) or is_number(dtype) else no
+        kind = f"case when {empty} then 'categorical' else '{fixed}' end"
     sql = (
-        F.when(kind == "boolean", "BOOLEAN").when(kind == "datetime", "DATETIME")
-        .when(kind == "numerical", F.when(whole, "INTEGER").otherwise("REAL")).otherwise("TEXT")
+        f"case {kind} when 'boolean' then 'BOOLEAN' when 'datetime' then 'DATETIME' "
+        f"when 'numerical' then if({whole}, 'INTEGER', 'REAL') else 'TEXT' end"
     )
     return kind, sql, mixed
 
@@ -92,22 +83,15 @@ def _verdict(df: DataFrame, name: str, get) -> tuple[Column, Column, Column]:
 def infer_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """One row per column: ``column, data_type, sql_type, is_mixed``."""
     names = list(columns or df.columns)
-    aggs, index = [], {}
-    for i, name in enumerate(names):
-        for fact, expr in _facts(df, name).items():
-            index[name, fact] = f"f{i}_{fact}"
-            aggs.append(expr.alias(f"f{i}_{fact}"))
-    facts = df.agg(*aggs)
-    rows = []
+    aggs, rows = [], []
     for i, name in enumerate(names):
-        kind, sql, mixed = _verdict(df, name, lambda fact, name=name: F.col(index[name, fact]))
+        aggs += [f"{expr} as f{i}_{fact}" for fact, expr in _facts(df, name).items()]
+        kind, sql, mixed = _verdict(df, name, i)
         rows.append(
-            F.struct(
-                F.lit(i).alias("ordinal"), F.lit(name).alias("column"), kind.alias("data_type"),
-                sql.alias("sql_type"), mixed.alias("is_mixed"),
-            )
+            f"named_struct('ordinal', {i}, 'column', {text_literal(name)}, 'data_type', {kind}, "
+            f"'sql_type', {sql}, 'is_mixed', {mixed})"
         )
-    return facts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def type_map(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, dict]:

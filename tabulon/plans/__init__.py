@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "cleaning", "charting")
+MODULES = ("profiling", "cleaning", "charting", "series")
 
 
 def load() -> None:
