@@ -185,3 +185,23 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """
     window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") <= n).drop("__rank")
+
+
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str, limit: int = TASK_ROWS) -> DataFrame:
+    """Sum of ``value`` over all rows before this one in ``order`` (unique), for any table size."""
+    sort_cols = [col(c) for c in order]
+    rows = df.count()
+    if rows <= limit:
+        before = Window.orderBy(*sort_cols).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(col(value)).over(before), F.lit(0)))
+    setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(setting, math.ceil(rows / limit))
+    ranged = durable(df.repartitionByRange(pieces, *sort_cols).withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy("__part").agg(F.sum(col(value)).alias("__sum"))
+    over_parts = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = parts.select("__part", F.coalesce(F.sum("__sum").over(over_parts), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__part").orderBy(*sort_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("__inside", F.coalesce(F.sum(col(value)).over(inside), F.lit(0)))
+    return local.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__inside")).drop(
+        "__part", "__inside", "__start"
+    )
