@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
@@ -159,7 +160,9 @@ def classifier(name: str, p: dict, rows: int, classes: int, width: int) -> tuple
         hidden = [int(h) for h in p.get("hidden_layer_sizes", (64, 32))]
         est = MultilayerPerceptronClassifier(layers=[width, *hidden, classes], maxIter=int(p.get("max_iter", 500)), seed=SEED, **cols)
     elif name == "svm":
-        est = wrap(LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * max(1, rows)), **cols))
+        est = wrap(
+            LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * max(1, rows)), maxIter=int(p.get("max_iter", 100)), **cols)
+        )
     else:
         if name != "random_forest":
             warning = f"unknown algorithm {name!r}: random forest is used"
@@ -250,7 +253,12 @@ def train(
         est, warning = classifier(algorithm, p, facts["n"], len(about.labels), width)
     else:
         est, warning = regressor(algorithm, p, facts["n"], facts["s"] or 0.0)
-    fitted = est.fit(ready)
+    # Iterative fits read their input many times.
+    kept = ready.select(FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = est.fit(kept)
+    finally:
+        kept.unpersist()
     about.warnings = [warning] if warning else []
     model = Model(PipelineModel(stages=[*prepared.stages, fitted]), about)
     scored = model.pipeline.transform(test_rows)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "cleaning", "charting", "relational", "series", "statistics", "models")
+MODULES = ("profiling", "cleaning", "charting", "relational", "series", "statistics", "models", "neighbors")
 
 
 def load() -> None:
