@@ -60,7 +60,7 @@ def _verdict(df: DataFrame, name: str, i: int) -> tuple[str, str, str]:
     if is_text(dtype):
         flag = f"(getbit(cast(f{i}_words as bigint), 0) = 0 and bit_count(f{i}_words) <= 2)"
         share = f"f{i}_dates >= 0.8 * f{i}_values"
-        mixed = f"coalesce(not ({empty}) and not {flag} and not ({share}) and f{i}_digit and f{i}_letter, false)"
+        mixed = f"coalesce(not ({empty}) and not {flag} and not ({share}) and f{i}_numbers < f{i}_values and f{i}_digit and f{i}_letter, false)"
         whole = f"f{i}_whole"
         kind = (
             f"case when {empty} then 'categorical' when {flag} then 'boolean' "
