@@ -22,6 +22,16 @@ BLANK_WORDS = ("", "nan", "none", "null", "<na>")
 # Fixed pattern: control, soft-hyphen, zero-width and direction characters.
 INVISIBLE = r"[\x00-\x1f\x7f-\x9f\u00ad\u200b-\u200f\u2028\u2029\u202a-\u202e\u2060\ufeff]"
 
+# The same characters listed, for a character-by-character removal.
+INVISIBLE_CHARACTERS = "".join(
+    chr(c)
+    for first, last in (
+        (0x00, 0x1F), (0x7F, 0x9F), (0xAD, 0xAD), (0x200B, 0x200F), (0x2028, 0x2029), (0x202A, 0x202E), (0x2060, 0x2060),
+        (0xFEFF, 0xFEFF),
+    )
+    for c in range(first, last + 1)
+)
+
 # Words that mark a title or column as money.
 MONEY_WORDS = (
     "revenue", "sales", "price", "cost", "profit", "amount", "budget", "salary", "spend",

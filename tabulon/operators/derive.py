@@ -40,8 +40,13 @@ def add_quantile_group(df: DataFrame, columns: Iterable[str], distinct: dict[str
     if rows < MIN_ROWS or not names:
         return df
     if distinct is None:
-        counts = value_counts(df, names).groupBy("column").count()
-        distinct = {r["column"]: r["count"] for r in counts.collect()}
+        # A sketch settles all but the close cases.
+        row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)]).first()
+        distinct = {c: row[f"d{i}"] for i, c in enumerate(names)}
+        close = [c for c in names if distinct[c] <= 10 * MIN_DISTINCT]
+        if close:
+            counts = value_counts(df, close).groupBy("column").count()
+            distinct |= {r["column"]: r["count"] for r in counts.collect()}
     names = [c for c in names if distinct.get(c, 0) > MIN_DISTINCT]
     parts = 4 if rows >= MANY_ROWS else 3
     edges = column_quantiles(df, {c: number(df, c) for c in names}, [i / parts for i in range(parts + 1)])

@@ -8,9 +8,11 @@ and one pass for the outliers.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, half_even, is_text, number, number_sql, quote, text_literal, time_sql, type_of
 from .ordering import first_per_group
@@ -21,11 +23,30 @@ SAMPLES = 5
 
 
 def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """``column, value, n``: how often each value occurs, as text, nulls left out."""
-    names = list(columns)
-    pairs = ", ".join(f"{text_literal(c)}, cast({quote(c)} as string)" for c in names)
-    long = df.selectExpr(f"stack({len(names)}, {pairs}) as (column, value)")
-    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """``column, value, n``: how often each value occurs, as text, nulls left out.
+
+    Whole numbers, other numbers and the rest are counted in their own types and
+    turned into text afterwards, one row per distinct value.
+    """
+    kinds: dict[str, list[str]] = {"bigint": [], "double": [], "string": []}
+    for c in columns:
+        dtype = type_of(df, c)
+        if isinstance(dtype, T.IntegralType):
+            kinds["bigint"].append(c)
+        elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+            kinds["double"].append(c)
+        else:
+            kinds["string"].append(c)
+    parts = []
+    for kind, names in kinds.items():
+        if not names:
+            continue
+        pairs = ", ".join(f"{text_literal(c)}, cast({quote(c)} as {kind})" for c in names)
+        long = df.selectExpr(f"stack({len(names)}, {pairs}) as (column, value)")
+        counted = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        rank = F.col("value").cast("double") if kind != "string" else F.lit(None).cast("double")
+        parts.append(counted.select("column", F.col("value").cast("string").alias("value"), rank.alias("number"), "n"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def profile(df: DataFrame, types: dict[str, dict] | None = None, exact: bool = True) -> DataFrame:
@@ -107,8 +128,9 @@ def frequency_facts(counts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("distinct_values"),
         F.min(F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("top"),
     )
-    few = first_per_group(counts, ["column"], [F.col("value")], SAMPLES)
-    samples = few.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
+    few = first_per_group(counts, ["column"], [F.col("number"), F.col("value")], SAMPLES)
+    listed = F.sort_array(F.collect_list(F.struct("number", "value")))
+    samples = few.groupBy("column").agg(F.transform(listed, lambda s: s["value"]).alias("sample_values"))
     return totals.join(samples, "column").select(
         "column", "distinct_values", "sample_values",
         F.col("top.value").alias("top_value"), (-F.col("top.n")).alias("top_frequency"),
@@ -158,7 +180,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, converted: Iterable[str] = (), described: DataFrame | None = None) -> DataFrame:
     """One row: rows, duplicates, missing cells and their share, warnings."""
-    described = profile(df) if described is None else described
+    described = _quality_facts(df) if described is None else described
     width = max(1, len(df.columns))
     mixed = list(converted)
     duplicates = duplicate_rows(df).first()[0]
@@ -205,6 +227,25 @@ def quality_report(df: DataFrame, converted: Iterable[str] = (), described: Data
     )
 
 
+def _quality_facts(df: DataFrame) -> DataFrame:
+    """The part of a profile the report needs: nulls of all columns, distinct values of text columns."""
+    texts = [c for c in df.columns if is_text(type_of(df, c))]
+    kinds = type_map(df, texts) if texts else {}
+    aggs = ["count(1) as rows"] + [f"count_if({quote(c)} is null) as n{i}" for i, c in enumerate(df.columns)]
+    rows = ", ".join(
+        f"named_struct('ordinal', {i}, 'column', {text_literal(c)}, 'data_type', "
+        f"{text_literal(kinds.get(c, {}).get('data_type', 'other'))}, 'rows', rows, 'null_count', n{i}, "
+        f"'null_pct', bround(100.0D * n{i} / greatest(rows, 1), 2))"
+        for i, c in enumerate(df.columns)
+    )
+    base = df.selectExpr(*aggs).selectExpr(f"inline(array({rows}))")
+    worded = [c for c in texts if kinds[c]["data_type"] in ("categorical", "text")]
+    if not worded:
+        return base.withColumn("unique_count", F.lit(0))
+    distinct = value_counts(df, worded).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    return base.join(distinct, "column", "left")
+
+
 def distinct_values(df: DataFrame, name: str) -> DataFrame:
     """Distinct non-null, non-empty values as text, ascending."""
     text = col(name).cast("string")

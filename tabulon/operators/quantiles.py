@@ -20,6 +20,7 @@ from ..session import TASK_ROWS
 from .ordering import same, with_position
 
 SKETCH = 10_000
+DIRECT = 20_000  # rows up to which the exact aggregate is the fastest way
 
 
 def _ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
@@ -32,7 +33,7 @@ def _ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
 
 
 def column_quantiles(
-    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], limit: int = TASK_ROWS
+    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], limit: int = TASK_ROWS, direct: int = DIRECT
 ) -> dict[str, list[float | None]]:
     """Quantiles of whole columns, ``{name: [value per prob]}``; nulls are ignored.
 
@@ -45,13 +46,13 @@ def column_quantiles(
     data = df.select(*[columns[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
     counts = data.selectExpr(*[f"count(c{i}) as c{i}" for i in range(len(names))]).first()
     result: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    small = [i for i in range(len(names)) if 0 < counts[i] <= limit]
+    small = [i for i in range(len(names)) if 0 < counts[i] <= direct]
     if small:
         plist = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
         row = data.selectExpr(*[f"percentile(c{i}, {plist}) as c{i}" for i in small]).first()
         for i in small:
             result[names[i]] = list(row[f"c{i}"])
-    large = [i for i in range(len(names)) if counts[i] > limit]
+    large = [i for i in range(len(names)) if counts[i] > direct]
     if large:
         wanted = {
             f"c{i}": sorted({r for low, high, _ in _ranks(counts[i], probs) for r in (low, high)}) for i in large
@@ -65,77 +66,70 @@ def column_quantiles(
     return result
 
 
+def _between(c: str, low, high) -> str:
+    """SQL text: ``c`` inside the open interval (None = unbounded)."""
+    tests = [f"{c} is not null"]
+    if low is not None:
+        tests.append(f"{c} > {low!r}D")
+    if high is not None:
+        tests.append(f"{c} < {high!r}D")
+    return " and ".join(tests)
+
+
 def _order_statistics(
     data: DataFrame, wanted: dict[str, list[int]], totals: dict[str, int], limit: int
 ) -> dict[str, dict[int, float]]:
-    """Values at the given 0-based ranks of large columns, all columns together."""
+    """Values at the given 0-based ranks of large columns, all columns together.
+
+    Every pass is one aggregate over the data without a shuffle of rows.
+    """
     found: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    # Open targets: (column, rank) -> (low, high, rows below, rows inside); bounds exclusive, None = open.
-    open_: dict[tuple[str, int], tuple] = {
-        (c, r): (None, None, 0, totals[c]) for c, ranks in wanted.items() for r in ranks
-    }
-
-    def inside(c: str, low, high) -> Column:
-        test = F.col(c).isNotNull()
-        if low is not None:
-            test = test & (F.col(c) > low)
-        if high is not None:
-            test = test & (F.col(c) < high)
-        return test
-
-    while open_:
-        ready = {k: v for k, v in open_.items() if v[3] <= limit}
+    # Where each rank can lie: (column, low, high, rows below, rows inside) -> ranks; bounds are exclusive.
+    spans: dict[tuple, list[int]] = {(c, None, None, 0, totals[c]): list(ranks) for c, ranks in wanted.items()}
+    while spans:
+        # One sketch per open interval brackets all its ranks.
+        order = list(spans)
+        aggs = []
+        for j, (c, low, high, below, n) in enumerate(order):
+            ends = sorted({min(1.0, max(0.0, (r - below) / n + side)) for r in spans[order[j]] for side in (-2 / SKETCH, 2 / SKETCH)})
+            listed = ", ".join(f"{e!r}D" for e in ends)
+            aggs.append(f"percentile_approx(case when {_between(c, low, high)} then {c} end, array({listed}), {SKETCH}) as s{j}")
+        sketch = data.selectExpr(*aggs).first()
+        # Rows below and at every cut.
+        cuts = {c: sorted({v for j, span in enumerate(order) if span[0] == c for v in sketch[f"s{j}"]}) for c in wanted}
+        counts = [f"count_if({c} < {v!r}D) as lt_{c}_{m}" for c in cuts for m, v in enumerate(cuts[c])]
+        counts += [f"count_if({c} = {v!r}D) as eq_{c}_{m}" for c in cuts for m, v in enumerate(cuts[c])]
+        row = data.selectExpr(*counts).first()
+        narrowed: dict[tuple, list[int]] = {}
+        for (c, low, high, below, n), ranks in spans.items():
+            for r in ranks:
+                span = (low, high, below, below + n)
+                for m, v in enumerate(cuts[c]):
+                    lt, eq = row[f"lt_{c}_{m}"], row[f"eq_{c}_{m}"]
+                    if lt <= r < lt + eq:
+                        found[c][r] = v
+                        break
+                    if r >= lt + eq and (span[0] is None or v > span[0]):
+                        span = (v, span[1], lt + eq, span[3])
+                    if r < lt and (span[1] is None or v < span[1]):
+                        span = (span[0], v, span[2], lt)
+                if r not in found[c]:
+                    narrowed.setdefault((c, span[0], span[1], span[2], span[3] - span[2]), []).append(r)
+        # Few values left: read the ranks off.
+        ready = [(span, r) for span, ranks in narrowed.items() if span[4] <= limit for r in ranks]
         if ready:
-            exprs = []
-            for j, ((c, r), (low, high, below, n)) in enumerate(ready.items()):
-                picked = f"s{j}"
-                exprs.append((picked, F.when(inside(c, low, high), F.col(c)), (r - below + 0.5) / n))
-            shaped = data.select(*[e.alias(p) for p, e, _ in exprs])
-            row = shaped.agg(
+            shaped = data.selectExpr(
+                *[f"case when {_between(c, low, high)} then {c} end as s{j}" for j, ((c, low, high, _, _), _) in enumerate(ready)]
+            )
+            row = shaped.selectExpr(
                 *[
-                    F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY {p})").alias(p)
-                    for p, _, q in exprs
+                    f"percentile_disc({(r - below + 0.5) / n!r}D) within group (order by s{j}) as s{j}"
+                    for j, ((_, _, _, below, n), r) in enumerate(ready)
                 ]
             ).first()
-            for j, key in enumerate(ready):
-                found[key[0]][key[1]] = row[f"s{j}"]
-                del open_[key]
-            continue
-        # Sketch both sides of each wanted rank, then count what lies around the bracket.
-        aggs = []
-        for j, ((c, r), (low, high, below, n)) in enumerate(open_.items()):
-            q = (r - below) / n
-            ends = [max(0.0, q - 2 / SKETCH), min(1.0, q + 2 / SKETCH)]
-            aggs.append(
-                F.percentile_approx(F.when(inside(c, low, high), F.col(c)), ends, SKETCH).alias(f"s{j}")
-            )
-        sketch = data.agg(*aggs).first()
-        counts = []
-        for j, (c, _) in enumerate(open_):
-            a, b = sketch[f"s{j}"]
-            counts += [
-                F.count_if(F.col(c) < a).alias(f"lt{j}"),
-                F.count_if(F.col(c) == a).alias(f"ea{j}"),
-                F.count_if((F.col(c) > a) & (F.col(c) < b)).alias(f"in{j}"),
-                F.count_if(F.col(c) == b).alias(f"eb{j}"),
-            ]
-        row = data.agg(*counts).first()
-        step = {}
-        for j, ((c, r), (low, high, below, n)) in enumerate(open_.items()):
-            a, b = sketch[f"s{j}"]
-            lt, ea, mid, eb = (row[f"{p}{j}"] for p in ("lt", "ea", "in", "eb"))
-            if r < lt:
-                step[c, r] = (low, a, below, lt - below)
-            elif r < lt + ea:
-                found[c][r] = a
-            elif r < lt + ea + mid:
-                step[c, r] = (a, b, lt + ea, mid)
-            elif a != b and r < lt + ea + mid + eb:
-                found[c][r] = b
-            else:
-                under = lt + ea + mid + (eb if a != b else 0)
-                step[c, r] = (b, high, under, below + n - under)
-        open_ = step
+            for j, (span, r) in enumerate(ready):
+                found[span[0]][r] = row[f"s{j}"]
+        spans = {span: ranks for span, ranks in narrowed.items() if span[4] > limit}
     return found
 
 

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import INVISIBLE, col, is_number, is_text, names_where, number, time_of, type_of
+from ..functions.columns import INVISIBLE, INVISIBLE_CHARACTERS, col, is_number, is_text, names_where, number, time_of, type_of
 from .ordering import first_per_group
 from .quantiles import column_quantiles
 
@@ -184,7 +184,7 @@ def filter_rows(df: DataFrame, p: dict) -> DataFrame:
 def fix_formatting(df: DataFrame, p: dict | None = None) -> DataFrame:
     """Remove invisible characters from text columns; blanks stay."""
     names = _listed(df, (p or {}).get("columns"), need=False) or names_where(df, is_text)
-    return df.withColumns({n: F.regexp_replace(col(n), INVISIBLE, "") for n in names}) if names else df
+    return df.withColumns({n: F.translate(col(n), INVISIBLE_CHARACTERS, "") for n in names}) if names else df
 
 
 def formatting_report(df: DataFrame) -> DataFrame:

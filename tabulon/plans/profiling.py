@@ -82,8 +82,8 @@ def profile_customer(t):
 @query(
     "profile_samples_part",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", string_agg(v, '|' ORDER BY v) AS sample_values FROM "
-        f"(SELECT DISTINCT CAST({c} AS VARCHAR) v FROM part ORDER BY v LIMIT 5)"
+        f"SELECT '{c}' AS \"column\", string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) AS sample_values FROM "
+        f"(SELECT DISTINCT {c} AS v FROM part ORDER BY v LIMIT 5)"
         for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     ),
 )
