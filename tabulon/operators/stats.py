@@ -15,6 +15,7 @@ from .types import type_map
 
 MAX_CODES = 30
 ID_SHARE = 0.7
+FEW_CLASSES = 1000
 
 
 def encode_for_correlation(
@@ -166,6 +167,11 @@ def split(
     limits = edges.join(sizes, strata).select(
         col(strata).alias("__class"), F.when(F.col("__n") >= 2, F.col("__edge")[0]).alias("__limit")
     )
+    few = limits.limit(FEW_CLASSES + 1).collect()
+    if len(few) <= FEW_CLASSES:  # the usual case: thresholds as literals, no join
+        pairs = [F.lit(x) for r in few for x in (r["__class"], r["__limit"])]
+        edge = F.try_element_at(F.create_map(*pairs), col(strata)) if pairs else F.lit(None).cast("double")
+        return marked.withColumn("is_test", F.coalesce(F.col("__point") < edge, F.lit(False))).drop("__point")
     joined = marked.join(limits, col(strata) == F.col("__class"), "left")
     is_test = F.coalesce(F.col("__point") < F.col("__limit"), F.lit(False))
     return joined.withColumn("is_test", is_test).drop("__point", "__class", "__limit")
