@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, half_even
 from .profile import profile
+from .types import infer_types
 
 # Endings that mark a key column.
 KEY_ENDINGS = ("_id", "id", "_code", "_key")
@@ -49,6 +50,13 @@ def preview(df: DataFrame, limit: int = 100, order: Iterable[str] = ()) -> DataF
     return (df.orderBy(*keys) if keys else df).limit(limit)
 
 
+def preview_columns(df: DataFrame) -> DataFrame:
+    """What stands above a preview: types and mixed flag per column, total rows and columns."""
+    return infer_types(df).withColumns(
+        {"total_rows": F.lit(df.count()).cast("long"), "total_columns": F.lit(len(df.columns))}
+    )
+
+
 def relationships(spark: SparkSession, declared: Iterable[tuple[str, str, str, str]]) -> DataFrame:
     """Foreign keys as rows ``(from_table, from_column, to_table, to_column)``."""
     return spark.createDataFrame(list(declared), "from_table string, from_column string, to_table string, to_column string")

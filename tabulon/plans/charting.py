@@ -179,7 +179,20 @@ def chart_insight_numbers(t):
     return insight_numbers(data, "p_brand", "v").withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-@query("insight_lines_segment")
+@query(
+    "insight_lines_segment",
+    """WITH d AS (SELECT c_mktsegment AS s, round(sum(c_acctbal), 2) AS v FROM customer GROUP BY 1), f AS (SELECT count(*) AS n, sum(v) AS t,
+      avg(v) AS a, max(v) AS hi, min(v) AS lo, arg_max(s, v) AS top, arg_min(s, v) AS low FROM d),
+    t3 AS (SELECT sum(v) AS b FROM (SELECT v FROM d ORDER BY v DESC LIMIT 3)),
+    m AS (SELECT *, [hi, lo, a, t, b] AS vals FROM f, t3),
+    w AS (SELECT *, list_transform(vals, lambda x: CASE WHEN x >= 1e7 THEN printf('₹%.2f Cr', x / 1e7) WHEN x >= 1e5 THEN
+      printf('₹%.2f Lakh', x / 1e5) ELSE printf('₹%.1f K', x / 1e3) END) AS c FROM m)
+    SELECT 0::INTEGER AS line, printf('%d records', n) AS text FROM w
+    UNION ALL SELECT 1, 'Highest: ' || top || ' with ' || c[1] || printf(' (%.1f%% of the total)', hi / t * 100) FROM w
+    UNION ALL SELECT 2, 'Lowest: ' || low || ' with ' || c[2] FROM w
+    UNION ALL SELECT 3, 'Mean ' || c[3] || ', total ' || c[4] FROM w
+    UNION ALL SELECT 4, 'Top three together ' || c[5] || printf('; spread %.1fx', hi / lo) FROM w""",
+)
 def insight_lines_segment(t):
     data = t.customer.groupBy("c_mktsegment").agg(F.round(F.sum("c_acctbal"), 2).alias("amount"))
     return insight_lines(data, "c_mktsegment", "amount", "Balance by segment")
@@ -238,7 +251,12 @@ def group_mean_series(t):
     )
 
 
-@query("dashboard_cards")
+@query(
+    "dashboard_cards",
+    """SELECT 'Revenue by priority' AS card, o_orderpriority AS label, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 2
+    UNION ALL SELECT 'Balance by segment', c_mktsegment, round(avg(c_acctbal), 2) FROM customer GROUP BY 2
+    UNION ALL SELECT 'Parts by type', p_type, count(*)::DOUBLE FROM part GROUP BY 2""",
+)
 def dashboard_cards(t):
     """All cards of one dashboard in long form: ``card, label, value``."""
     tables = {"orders": t.orders, "customer": t.customer, "part": t.part}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.catalog import (
-    explore, fanout, join_key_candidates, key_overlap, orphan_counts, preview, related_tables, relationships, workspace_schema,
+    explore, fanout, join_key_candidates, key_overlap, orphan_counts, preview, preview_columns, related_tables, relationships, workspace_schema,
 )
 from ..operators.charts import ChartSpec
 from ..sources.workspace import Workspace
@@ -252,6 +252,22 @@ def preview_orders(t):
     return preview(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), 100, ["o_orderkey"])
 
 
+@query(
+    "preview_columns_orders",
+    " UNION ALL ".join(
+        f"SELECT {i} AS ordinal, '{c}' AS \"column\", '{k}' AS data_type, '{q}' AS sql_type, {m} AS is_mixed, count(*) AS total_rows, "
+        "6 AS total_columns FROM orders"
+        for i, (c, k, q, m) in enumerate((
+            ("o_orderkey", "numerical", "INTEGER", "false"), ("o_custkey", "numerical", "INTEGER", "false"),
+            ("o_orderstatus", "categorical", "TEXT", "false"), ("o_totalprice", "numerical", "REAL", "false"),
+            ("o_orderdate", "datetime", "DATETIME", "false"), ("o_orderpriority", "text", "TEXT", "true"),
+        ))
+    ),
+)
+def preview_columns_orders(t):
+    return preview_columns(t.orders)
+
+
 @query(
     "foreign_key_check",
     " UNION ALL ".join(
