@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,20 +34,35 @@ def build_session(app: str = "tabulon", cores: str | int = "*", partitions: int
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back from there.
+def scratch_folder(spark: SparkSession) -> str:
+    """Folder for intermediate data: the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names (``spark.checkpoint.dir``).  A local
-    session without one gets a temporary folder; a cluster session must name it,
-    because the copy has to outlive any executor.
+    Where it is unset (tests, a single machine), a folder inside the warehouse is used,
+    which driver and executors share by definition.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tabulon-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the checkpoint folder and read it back: columns can be pruned again.
+
+    The files go when the session's driver ends; a driver that is killed leaves them
+    to the expiry rule of that folder.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
