@@ -21,15 +21,13 @@ def rank_in_groups(df: DataFrame, group: str, key: Column, n_rows: int, rank: st
     their cell, and shifted by the number of rows in the cells before it.
     """
     cells = max(1, -(-n_rows // GROUP_ROWS))
-    dealt = df.withColumn("__cell", F.pmod(F.xxhash64(key), F.lit(cells)).cast("int"))
-    ranked = dealt.withColumn("__in", F.expr(f"row_number() over (partition by `{group}`, __cell order by __key) - 1").cast("long")) \
-        if "__key" in df.columns else dealt.withColumn("__key", key).withColumn(
-            "__in", F.expr(f"row_number() over (partition by `{group}`, __cell order by __key) - 1").cast("long"))
-    if cells == 1:
-        return ranked.withColumn(rank, F.col("__in")).drop("__cell", "__in", "__key")
-    counts = dealt.groupBy(group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(group, "__cell", F.expr(
-        f"coalesce(sum(__n) over (partition by `{group}` order by __cell rows between unbounded preceding and 1 preceding), 0)"
-    ).cast("long").alias("__before"))
-    return ranked.join(before, [group, "__cell"]).withColumn(rank, F.col("__in") + F.col("__before")).drop(
-        "__cell", "__in", "__key", "__before", "__n")
+    dealt = df.withColumn("__key", key).withColumn("__cell", F.pmod(F.xxhash64("__key"), F.lit(cells)).cast("int"))
+    ranked = dealt.withColumn(rank, F.expr(
+        f"row_number() over (partition by `{group}`, __cell order by __key) - 1").cast("long"))
+    if cells > 1:
+        counts = dealt.groupBy(group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+        before = counts.select(group, "__cell", F.expr(
+            f"coalesce(sum(__n) over (partition by `{group}` order by __cell rows between unbounded preceding "
+            "and 1 preceding), 0)").cast("long").alias("__before"))
+        ranked = ranked.join(before, [group, "__cell"]).withColumn(rank, F.col(rank) + F.col("__before")).drop("__before")
+    return ranked.drop("__key", "__cell")
