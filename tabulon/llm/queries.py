@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import packing, sharding, simhash, token_counts, toxicity
+from tabulon.llm import decontam, packing, secrets, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,14 @@ def op5_token_counts(spark, folder):
 @query
 def op6_sharding(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
+
+
+@query
+def op7_secrets(spark, folder):
+    docs = table(spark, folder, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+@query
+def op10_decontamination(spark, folder):
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
