@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontam, packing, secrets, sharding, simhash, token_counts, toxicity
+from tabulon.llm import decontam, imatch, licenses, packing, secrets, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,16 @@ def op7_secrets(spark, folder):
     return secrets.scan(docs, secrets.fit(docs))
 
 
+@query
+def op8_imatch(spark, folder):
+    return imatch.compare_edits(table(spark, folder, "documents"))
+
+
+@query
+def op9_licenses(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query
 def op10_decontamination(spark, folder):
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
