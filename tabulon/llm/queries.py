@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontam, imatch, licenses, packing, secrets, sharding, simhash, token_counts, toxicity
+from tabulon.llm import decontam, imatch, licenses, packing, repeats, secrets, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op2_simhash(spark, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_repeats(spark, folder):
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op4_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
