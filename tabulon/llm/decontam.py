@@ -205,13 +205,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     return out.withColumn("coverage", F.col("covered") / F.col("item_words"))
 
 
+def _clean_column(block: tuple, coverage: float):
+    @pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        items = items_of(block)
+        return pd.Series([not items.leaks(t, coverage) for t in text], dtype=bool)
+
+    return clean
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that leak no item, all columns kept."""
     for block in blocks(benchmark):
-        @pandas_udf("boolean")
-        def clean(text: pd.Series, block=block) -> pd.Series:
-            items = items_of(block)
-            return pd.Series([not items.leaks(t, coverage) for t in text], dtype=bool)
-
-        docs = docs.where(clean(F.coalesce("text", F.lit(""))))
+        docs = docs.where(_clean_column(block, coverage)(F.coalesce("text", F.lit(""))))
     return docs
