@@ -198,8 +198,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
             items = items_of(block)
             for batch in batches:
                 rows = [(None if pd.isna(d) else int(d), *leak) for d, t in zip(batch["doc_id"], batch["text"]) for leak in items.leaks(t, coverage)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "tiles", "covered", "item_words"]).astype(
-                    {"doc_id": "Int64", "item_id": "Int64"})
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "tiles", "covered", "item_words"]).astype(
+                        {"doc_id": "Int64", "item_id": "Int64"})
 
         out = out.union(texts(docs).mapInPandas(run, schema))
     return out.withColumn("coverage", F.col("covered") / F.col("item_words"))

@@ -225,7 +225,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
                         tags.append(OUTSIDE if span is None else INSIDE if span == open_span else BEGIN)
                         open_span = span
                     out.append(("\x1e".join("\x1f".join(fs) for fs in features), allowed, tags, any(t != OUTSIDE for t in tags)))
-            yield pd.DataFrame(out, columns=["features", "allowed", "tags", "positive"])
+            if out:
+                yield pd.DataFrame(out, columns=["features", "allowed", "tags", "positive"])
 
     found = chosen.where(F.col("order") <= picked).mapInPandas(
         cases, "features string, allowed array<boolean>, tags array<int>, positive boolean")

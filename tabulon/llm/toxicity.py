@@ -239,7 +239,8 @@ def _count(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             for text in batch["text"]:
                 entries = _entries(text)
                 found.update(entries if wanted is None else entries & wanted)
-        yield pd.DataFrame({"entry": list(found), "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"entry": list(found), "n": list(found.values())})
 
     return rows.select("text").mapInPandas(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
