@@ -87,28 +87,55 @@ def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bytes around the listed anchors of each text, and the blocks of frequent anchors."""
+    """Bytes around the listed anchors of each text."""
     for batch in batches:
         out = []
         for key, text, places in zip(batch["key"], batch["text"], batch["places"]):
             raw = text.encode()
-            hashes = None
             for place in places:
-                at, gram = place["pos"], place["gram"]
-                first, past = max(0, at - (LENGTH - GRAM)), min(len(raw), at + LENGTH)
                 if not place["many"]:
-                    out.append((key, gram, first, raw[first:past], None, None))
-                    continue
-                hashes = hashes or hashed(raw)
-                starts = np.arange(first, min(at, past - LENGTH) + 1)
-                each = hashes.of(starts, starts + LENGTH).view("int64")
-                block = (starts - at) // BLOCK  # counted from the anchor, so equal places share a block
-                for b in np.unique(block).tolist():
-                    mine = starts[block == b]
-                    core_first, core_past = at + (b + 1) * BLOCK - 1, at + b * BLOCK + LENGTH
-                    core = int(hashes.of(np.array([min(core_first, len(raw))]), np.array([min(core_past, len(raw))])).view("int64")[0])
-                    out.append((key, gram ^ core, int(mine[0]), None, b, each[block == b]))
-        yield pd.DataFrame(out, columns=["key", "gram", "first", "data", "block", "starts"]).astype({"block": "Int32"})
+                    first = max(0, place["pos"] - (LENGTH - GRAM))
+                    out.append((key, place["gram"], first, raw[first:place["pos"] + LENGTH]))
+        yield pd.DataFrame(out, columns=["key", "gram", "first", "data"])
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of starts around frequent anchors: the hash of the part that all of a block's strings
+    share, with its place (``core``), and of all their bytes (``full``)."""
+    for batch in batches:
+        out = []
+        for key, text, places in zip(batch["key"], batch["text"], batch["places"]):
+            at = np.array([p["pos"] for p in places if p["many"]], np.int64)
+            gram = np.array([p["gram"] for p in places if p["many"]], np.int64).view(np.uint64)
+            raw = text.encode()
+            hashes, n = hashed(raw), len(raw)
+            # counted from the anchor, so equal places share a block
+            begin = at[:, None] + BLOCK * np.arange(-((LENGTH - GRAM) // BLOCK), 1)
+            first = np.maximum(begin, np.maximum(at - (LENGTH - GRAM), 0)[:, None])
+            last = np.minimum(begin + BLOCK - 1, np.minimum(at, n - LENGTH)[:, None])
+            fine = first <= last
+            i = np.nonzero(fine)[0]
+            begin, first, last = begin[fine], first[fine], last[fine]
+            place = (begin - at[i]).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+            core = hashes.of(begin + BLOCK - 1, begin + LENGTH) + gram[i] + place
+            full = hashes.of(first, last + LENGTH) + (first - begin).astype(np.uint64) * np.uint64(31) + (last - begin).astype(np.uint64)
+            out.append((np.full(len(i), key), first, last, core, full))
+        columns = [np.concatenate(c) for c in zip(*out)]
+        yield pd.DataFrame({"key": columns[0].astype("int64"), "first": columns[1].astype("int32"), "last": columns[2].astype("int32"),
+                            "core": columns[3].view("int64"), "full": columns[4].view("int64")})
+
+
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of all strings that start in the listed blocks of each text."""
+    for batch in batches:
+        keys, firsts, strings = [], [], []
+        for key, text, blocks in zip(batch["key"], batch["text"], batch["blocks"]):
+            at = np.unique(np.concatenate([np.arange(b["first"], b["last"] + 1) for b in blocks]))
+            keys.append(np.full(len(at), key))
+            firsts.append(at)
+            strings.append(hashed(text.encode()).of(at, at + LENGTH))
+        yield pd.DataFrame({"key": np.concatenate(keys).astype("int64"), "first": np.concatenate(firsts).astype("int32"),
+                            "string": np.concatenate(strings).view("int64")})
 
 
 def shard_repeats(pieces: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
@@ -150,7 +177,8 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pieces, size, last = [], 0, None
 
     def frame() -> pd.DataFrame:
-        return pd.DataFrame(shard_repeats(pieces), columns=["key", "first", "past"])
+        found = np.array(shard_repeats(pieces), np.int64).reshape(-1, 3)
+        return pd.DataFrame({"key": found[:, 0], "first": found[:, 1].astype("int32"), "past": found[:, 2].astype("int32")})
 
     for batch in batches:
         for key, gram, first, data in zip(batch["key"], batch["gram"], batch["first"], batch["data"]):
@@ -163,14 +191,24 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
-def _frequent(blocks: DataFrame) -> DataFrame:
-    """(key, first, past) of repeated strings around frequent anchors, by grouping on hashes."""
-    met = blocks.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    each = blocks.join(met.select("gram", "block"), ["gram", "block"]).select("key", F.posexplode("starts").alias("i", "string"), "first").select(
-        "key", "string", (F.col("first") + F.col("i")).alias("first"))
-    each = stored(each)
-    shared = each.groupBy("string").agg(F.min(F.struct("key", "first")).alias("a"), F.max(F.struct("key", "first")).alias("b")).where("a != b")
-    return each.join(shared.select("string"), "string").select("key", "first", (F.col("first") + LENGTH).alias("past"))
+def _frequent(touched: DataFrame) -> DataFrame:
+    """(key, first, past) of repeated strings around frequent anchors, by grouping on hashes.
+
+    A block equal to another repeats as a whole.  Of those that only share their core with a
+    different one, each kind is compared start by start.
+    """
+    blocks = stored(touched.where("exists(places, p -> p.many)").select("key", "text", "places").mapInPandas(
+        _blocks, "key long, first int, last int, core long, full long"))
+    kinds = stored(blocks.groupBy("core", "full").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last")).alias("one")))
+    equal = blocks.join(kinds.where("n > 1").select("core", "full"), ["core", "full"]).select("key", "first", "last")
+    shared = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    unlike = kinds.join(shared.select("core"), "core").select("one.key", "one.first", "one.last")
+    listed = unlike.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("blocks"))
+    each = stored(touched.select("key", "text").join(listed, "key").mapInPandas(_starts, "key long, first int, string long"))
+    again = each.groupBy("string").agg(F.min(F.struct("key", "first")).alias("a"), F.max(F.struct("key", "first")).alias("b")).where("a != b")
+    single = each.join(again.select("string"), "string").select("key", "first", F.col("first").alias("last"))
+    return equal.union(single).select("key", "first", (F.col("last") + LENGTH).alias("past"))
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,11 +259,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = alike.groupBy("key").agg(F.collect_list("pos").alias("alike"))
     wanted = places.join(known, "key", "full")
     touched = stored(base.select("key", "text").join(wanted, "key"))
-    around = stored(touched.where("places is not null").select("key", "text", "places").mapInPandas(
-        _surroundings, "key long, gram long, first int, data binary, block int, starts array<long>"))
-    sharded = around.where("data is not null").select("key", "gram", "first", "data").repartition("gram").sortWithinPartitions("gram")
-    spans = sharded.mapInPandas(_shards, "key long, first int, past int").union(
-        _frequent(around.where("data is null").select("key", "gram", "first", "block", "starts"))).union(
+    around = touched.where("exists(places, p -> not p.many)").select("key", "text", "places").mapInPandas(
+        _surroundings, "key long, gram long, first int, data binary")
+    sharded = around.repartition("gram").sortWithinPartitions("gram")
+    spans = sharded.mapInPandas(_shards, "key long, first int, past int").union(_frequent(touched)).union(
         touched.where("alike is not null").select("key", F.explode("alike").alias("pos"), F.octet_length("text").alias("n")).select(
             "key", F.greatest(F.lit(0), F.col("pos") - (LENGTH - GRAM)).alias("first"), F.least("n", F.col("pos") + LENGTH).alias("past")))
     by_text = spans.groupBy("key").agg(F.collect_set(F.struct("first", "past")).alias("spans"))
