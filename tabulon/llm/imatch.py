@@ -1,10 +1,10 @@
 """I-Match fingerprints of documents, with DataFrame functions only.
 
 Method: document frequencies of all terms are counted over all documents.  The lexicon keeps
-the terms within an inverse-document-frequency band: too common ones are left out, and of
-the rest the ``LEXICON`` most frequent stay (which bounds its size, so it may be broadcast).
+the terms within an inverse-document-frequency band: of a random quarter of all terms (the same for every
+table, as it depends on the term's hash alone) too common ones are left out, and of the rest the ``LEXICON`` most frequent stay (which bounds its size, so it may be broadcast).
 A text's distinct lexicon terms are sorted and hashed once per randomised sub-lexicon.
-Sub-lexicons keep from a quarter down to 1/512 of the terms, so that long and short texts both
+Sub-lexicons keep from a half down to 1/256 of the terms, so that long and short texts both
 have some that hold a few of their terms.  Likeness is the share of sub-lexicons, among those that
 hold a term of either text, whose hashes agree.
 """
@@ -18,14 +18,16 @@ from tabulon.llm.common import GROUP_ROWS
 from tabulon.session import stored
 
 COMMON = 0.05  # share of documents above which a term is too common
-LEXICON = 100_000  # terms at most: 16 bytes each
-LEVELS, PER_LEVEL = 8, 4  # sub-lexicons keep 1/4, 1/8, ... of the terms
+LEXICON = 50_000  # terms at most: 16 bytes each
+SHARE = 4  # one term in so many, by its hash, may enter the lexicon
+LEVELS, PER_LEVEL = 8, 4  # sub-lexicons keep 1/2, 1/4, ... of the terms
 FIRST = -(1 << 63)  # stands for a null id: it comes first
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"))
+    """Distinct lower-case runs of letters and digits that may enter the lexicon."""
+    found = F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
+    return F.array_distinct(F.filter(found, lambda t: F.xxhash64(t, F.lit(7)).bitwiseAND(SHARE - 1) == 0))
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def lexicon(docs: DataFrame) -> DataFrame:
         F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("df"))
     n = docs.count()
     band = counted.where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2.0), F.lit(COMMON * n))))
-    member = " + ".join(f"if((xxhash64(term, {k}) & {(4 << k // PER_LEVEL) - 1}L) = 0, {1 << k}L, 0L)" for k in range(LEVELS * PER_LEVEL))
+    member = " + ".join(f"if((xxhash64(term, {k}) & {(2 << k // PER_LEVEL) - 1}L) = 0, {1 << k}L, 0L)" for k in range(LEVELS * PER_LEVEL))
     return stored(band.orderBy(F.desc("df"), "term").limit(LEXICON).select(
         "term", F.expr(f"(term & {-1 << 32}L) | ({member})").alias("code")))
 
