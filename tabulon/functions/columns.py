@@ -108,14 +108,14 @@ def to_number(column: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def number_sql(df: DataFrame, name: str) -> str:
-    """SQL text of a column as a number or null (NaN counts as missing).
+    """SQL text of a column as a number or null (NaN and infinite values count as missing).
 
     Wide aggregates are assembled as SQL text: one call per expression instead of
     one per operator.
     """
     ref, dtype = quote(name), type_of(df, name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return f"nanvl(cast({ref} as double), cast(null as double))"
+        return f"case when abs(cast({ref} as double)) < double('Infinity') then cast({ref} as double) end"
     if is_number(dtype):
         return f"cast({ref} as double)"
     if is_flag(dtype):

@@ -102,8 +102,8 @@ def residual_sample(df: DataFrame, truth: str, predicted: str, key: str, n: int
 
 
 def cluster_profile(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
-    """``cluster, size, pct, column, mean, overall, diff_pct`` for up to ten columns; two aggregates."""
-    names = list(columns)[:10]
+    """``cluster, size, pct, column, mean, overall, diff_pct`` for all given columns; two aggregates."""
+    names = list(columns)
     values = [number(df, c) for c in names]
     overall = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
     per = df.groupBy(col(cluster)).agg(F.count(F.lit(1)).alias("size"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)])

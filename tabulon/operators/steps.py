@@ -47,10 +47,12 @@ def formula(text: str) -> Column:
         piece = re.sub(r"\|+", " OR ", piece)
         parts[i] = re.sub(r"~", " NOT ", piece)
     sql = "".join(parts)
-    previous = None
-    while previous != sql:
-        previous = sql
-        sql = re.sub(_OPERAND + r"\s*\*\*\s*" + _OPERAND, r"power(\1, \2)", sql, count=1)
+    while "**" in sql:  # powers bind from the right
+        left, right = sql.rsplit("**", 1)
+        base, exponent = re.search(_OPERAND + r"\s*$", left), re.match(r"\s*" + _OPERAND, right)
+        if not base or not exponent:
+            break
+        sql = f"{left[:base.start()]}power({base[1]}, {exponent[1]}){right[exponent.end():]}"
     sql = re.sub(_OPERAND + r"\s*//\s*" + _OPERAND, r"floor(\1 / \2)", sql)
     sql = re.sub(r"/\s*" + _OPERAND, r"/ nullif(\1, 0)", sql)
     return F.expr(sql)
@@ -192,9 +194,9 @@ def formatting_report(df: DataFrame) -> DataFrame:
     names = names_where(df, is_text)
     counts = [F.count_if(col(n).rlike(INVISIBLE)).alias(f"n{i}") for i, n in enumerate(names)]
     rows = [F.struct(F.lit(n).alias("column"), F.col(f"n{i}").alias("cells_cleaned")) for i, n in enumerate(names)]
-    total = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(names))])
+    total = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(names))], F.lit(0).cast("long"))
     rows.append(F.struct(F.lit("total").alias("column"), total.alias("cells_cleaned")))
-    return df.agg(*counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return df.agg(F.count(F.lit(1)).alias("rows"), *counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
