@@ -104,7 +104,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     first as many (or all) of the next document.  Columns: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.  Null texts count as empty, a
     null id comes first, repeated rows (same id and text) give one row; of different texts
-    with one id, the smallest counts as the next document.
+    with one id, the one with the smallest hash counts as the next document.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("k"), text.alias("text"), F.xxhash64(text).alias("h"),
@@ -112,12 +112,13 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     words = lexicon(docs)
     order = stored(successors(stored(base.select("k", "h", "n_chars"))))
     own = stored(printed(base.select("k", "h", F.col("h").alias("fallback"), terms(F.col("text")).alias("t")), words))
-    # the id before a document, and how much of this document that one takes
+    # the id before a document, and how much of this document that one takes; both joins read one shuffle of the texts,
+    # which works only while both use all columns of ``base``
     before = order.select(F.col("next").alias("k"), F.col("k").alias("previous"), "need")
-    placed = base.join(before, "k")
-    heads = placed.select(F.col("previous").alias("k"), F.expr("substring(text, 1, int(need))").alias("head")).groupBy(
-        "k").agg(F.min("head").alias("head"))
-    edited = placed.drop("previous", "need").join(heads, "k").select("k", "h", "n_chars", F.expr(
+    heads = base.join(before, "k").select(
+        F.col("previous").alias("k"), "h", F.expr("substring(text, 1, int(least(need, n_chars)))").alias("head")).groupBy(
+        "k").agg(F.min_by("head", "h").alias("head"))
+    edited = base.join(heads, "k").select("k", "h", "n_chars", F.expr(
         "concat(substring(text, 1, int(n_chars - n_chars div 2)), substring(head, 1, int(n_chars div 2)))").alias("edited"))
     changed = printed(edited.select(
         "k", "h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
