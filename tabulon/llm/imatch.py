@@ -45,7 +45,7 @@ def lexicon(docs: DataFrame) -> DataFrame:
 
 
 def sub_hashes(listed: Column, fallback: Column) -> Column:
-    """Hashes of the sorted terms in each sub-lexicon (null: none); of ``fallback`` if no term is in the lexicon."""
+    """32-bit hashes of the sorted terms in each sub-lexicon (null: none); of ``fallback`` if no term is in the lexicon."""
     numbers = F.sequence(F.lit(0), F.lit(LEVELS * PER_LEVEL - 1))
 
     def hashes(codes: Column) -> Column:
@@ -54,7 +54,8 @@ def sub_hashes(listed: Column, fallback: Column) -> Column:
 
     # the lambda binds the sorted terms, which would otherwise be sorted anew for every sub-lexicon
     bound = F.transform(F.array(listed), hashes)[0]
-    return F.when(F.size(listed) > 0, bound).otherwise(F.transform(numbers, lambda k: F.xxhash64(fallback, k)))
+    long_hashes = F.when(F.size(listed) > 0, bound).otherwise(F.transform(numbers, lambda k: F.xxhash64(fallback, k)))
+    return F.transform(long_hashes, lambda h: F.shiftright(h, 32).cast("int"))
 
 
 def printed(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -78,8 +79,8 @@ def likeness(a: str, b: str) -> Column:
 
 def as_text(name: str) -> Column:
     """Eight hex digits per sub-lexicon; zeros where it holds no term."""
-    return F.lower(F.concat_ws("", F.transform(name, lambda h: F.lpad(F.hex(F.coalesce(h, F.lit(0)).bitwiseAND(
-        F.lit(0xFFFFFFFF).cast("long"))), 8, "0"))))
+    return F.lower(F.concat_ws("", F.transform(name, lambda h: F.lpad(F.hex(
+        F.coalesce(h.cast("long"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0"))))
 
 
 def successors(docs: DataFrame) -> DataFrame:
