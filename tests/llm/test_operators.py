@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tabulon.llm import decontam, imatch, licenses, packing, repeats, secrets, sharding, simhash, suffix_array, token_counts, toxicity
+from tabulon.llm import decontam, imatch, licenses, packing, repeats, secrets, sharding, simhash, suffix_array, token_counts, tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -253,3 +253,13 @@ def test_held_out_accuracy(spark):
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out")
     right = scored.where("predicted = toxic").count() / scored.count()
     assert right > 0.93
+
+
+@pytest.mark.parametrize("stretch, kept", [(3, 5), (37, 2), (1_000_000, 500_000)])
+def test_encoder_stretches(monkeypatch, stretch, kept):
+    monkeypatch.setattr(tokens, "STRETCH", stretch)
+    monkeypatch.setattr(tokens, "RUNS", kept)
+    encoder, tokenizer = tokens.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for text in ["", " ", "\n\t", "a", "Ab1c22,,d...e  f\nÉté--x9", "x" * 100, "!" * 100, "ab 12 " * 50, "it's <b> \x0b ß\x85你", "K1 k"]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
