@@ -1,8 +1,8 @@
 """I-Match fingerprints of documents, with DataFrame functions only.
 
 Method: document frequencies of all terms are counted over all documents.  The lexicon keeps
-the terms within an inverse-document-frequency band: of a random quarter of all terms (the same for every
-table, as it depends on the term's hash alone) too common ones are left out, and of the rest the ``LEXICON`` most frequent stay (which bounds its size, so it may be broadcast).
+the terms within an inverse-document-frequency band: too common ones are left out, and of the rest the ``LEXICON``
+most frequent stay (which bounds its size, so it may be broadcast).
 A text's distinct lexicon terms are sorted and hashed once per randomised sub-lexicon.
 Sub-lexicons keep from a half down to 1/256 of the terms, so that long and short texts both
 have some that hold a few of their terms.  Likeness is the share of sub-lexicons, among those that
@@ -19,15 +19,14 @@ from tabulon.session import stored
 
 COMMON = 0.05  # share of documents above which a term is too common
 LEXICON = 50_000  # terms at most: 16 bytes each
-SHARE = 4  # one term in so many, by its hash, may enter the lexicon
 LEVELS, PER_LEVEL = 8, 4  # sub-lexicons keep 1/2, 1/4, ... of the terms
 FIRST = -(1 << 63)  # stands for a null id: it comes first
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits that may enter the lexicon."""
+    """64-bit hashes of the distinct lower-case runs of letters and digits."""
     found = F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
-    return F.array_distinct(F.filter(found, lambda t: F.xxhash64(t, F.lit(7)).bitwiseAND(SHARE - 1) == 0))
+    return F.array_remove(F.array_distinct(F.transform(found, lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
@@ -35,8 +34,8 @@ def lexicon(docs: DataFrame) -> DataFrame:
 
     ``code`` has the high half of the term's hash and, in its low half, a bit for each sub-lexicon with the term.
     """
-    counted = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("t")).where("t != ''").groupBy(
-        F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("df"))
+    counted = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
     n = docs.count()
     band = counted.where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2.0), F.lit(COMMON * n))))
     member = " + ".join(f"if((xxhash64(term, {k}) & {(2 << k // PER_LEVEL) - 1}L) = 0, {1 << k}L, 0L)" for k in range(LEVELS * PER_LEVEL))
@@ -59,12 +58,12 @@ def sub_hashes(listed: Column, fallback: Column) -> Column:
 
 
 def printed(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Add ``hashes`` to (keys..., t, fallback): ``t`` holds the distinct terms of a row's text.
+    """Add ``hashes`` to (keys..., t, fallback): ``t`` holds the hashes of the distinct terms of a row's text.
 
     Rows with equal keys and fallback become one.
     """
     keys = [c for c in texts.columns if c != "t"]
-    found = texts.select(*keys, F.explode_outer("t").alias("t")).withColumn("term", F.xxhash64("t")).join(
+    found = texts.select(*keys, F.explode_outer("t").alias("term")).join(
         F.broadcast(words), "term", "left")
     listed = found.groupBy(*keys).agg(F.collect_set("code").alias("codes"))
     return listed.withColumn("hashes", sub_hashes(F.array_sort("codes"), F.col("fallback"))).drop("codes")

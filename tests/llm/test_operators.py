@@ -198,6 +198,14 @@ def test_imatch(docs, rows, nothing):
     assert imatch.compare_edits(nothing).count() == 0
 
 
+def test_imatch_takes_every_shared_term(spark):
+    """Each text has one term in common with one other text; all of them count, so no text falls back to its hash."""
+    pairs = [(n, f"only{n}a pair{n // 2} only{n}b") for n in range(60)]
+    got = imatch.compare_edits(spark.createDataFrame(pairs, "doc_id long, text string")).toPandas().set_index("doc_id")
+    for n in range(0, 60, 2):
+        assert got.near_next[n] == 1.0 and got.fingerprint[n] == got.fingerprint[n + 1]
+
+
 def test_licenses(docs, rows, nothing):
     words = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
     grams = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
