@@ -206,6 +206,73 @@ def test_imatch_takes_every_shared_term(spark):
         assert got.near_next[n] == 1.0 and got.fingerprint[n] == got.fingerprint[n + 1]
 
 
+def plain_imatch(rows):
+    """Band counted and fingerprints taken from term sets, text by text."""
+    known = sorted({(-(2**63) if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], as_long(r[1])))
+    found = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
+    df = Counter(w for _, t in rows for w in found(t or ""))
+    band = {w for w, n in df.items() if 2 <= n <= max(2, 0.05 * len(rows))}
+    firsts = {}
+    for k, t in known:
+        firsts.setdefault(k, t)
+    ids = sorted(firsts)
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    for k, t in known:
+        half = len(t) // 2
+        edit = t[:len(t) - half] + firsts[after[k]][:half]
+        yield (None if k == -(2**63) else k, hashlib.sha256(edit.encode()).hexdigest(),
+               *(frozenset(found(x) & band) for x in (t, edit, firsts[after[k]])))
+
+
+def as_long(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def plain_print(words):
+    """32 sub-lexicon hashes as Spark hashes arrays of longs: element by element, each seeded by the last."""
+    long_hash = lambda v, seed: xxhash.xxh64_intdigest((v & (2**64 - 1)).to_bytes(8, "little"), seed & (2**64 - 1))
+    codes = sorted(as_long(w) for w in words)
+    out = ""
+    for k in range(32):
+        seed = 42
+        for code in codes:
+            member = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), long_hash(code, 42))
+            if member & ((2 << k // 4) - 1) == 0:
+                seed = long_hash(code, seed)
+        out += f"{(seed >> 32) & 0xFFFFFFFF:08x}" if seed != 42 else "00000000"
+    return out
+
+
+def test_imatch_bands_and_cuts(spark, docs, rows):
+    """All fingerprints, of texts and edited texts, equal those from plain term sets."""
+    rng = np.random.default_rng(7)
+    words = [f"w{n}" for n in range(400)]
+    more = [(100 + n, " ".join(rng.choice(words, rng.integers(1, 60)).tolist())) for n in range(150)] + [(None, "w1 w2 other"), (100, "w3 w4")]
+    given = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {(None if r.doc_id != r.doc_id else int(r.doc_id), r.edited_sha256): (r.fingerprint, r.edited_fingerprint)
+           for r in imatch.compare_edits(given).toPandas().itertuples()}
+    want = {(k, sha): (own, edit) for k, sha, own, edit, _ in plain_imatch(list(rows) + more)}
+    assert got.keys() == want.keys()
+    shown = [k for k in want if want[k][0]]
+    assert len(shown) > 150
+    for key, (own, edit) in want.items():
+        assert not own or got[key][0] == plain_print(own)
+        assert not edit or got[key][1] == plain_print(edit)
+
+
+def test_imatch_rare_terms_stay_however_many_there_are(spark):
+    """51,000 terms of three texts must not push out the one term that two others share."""
+    many = " ".join(f"m{n}" for n in range(51_000))
+    texts = [many] * 3 + ["a0 pair b0", "a1 pair b1"] + [f"c{n} d{n}" for n in range(60)]
+    got = imatch.compare_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert got.near_next[3] == 1.0 and got.fingerprint[3] == got.fingerprint[4]
+
+
 def test_licenses(docs, rows, nothing):
     words = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
     grams = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
