@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tabulon.llm import decontam, imatch, licenses, packing, repeats, secrets, sharding, simhash, suffix_array, token_counts, tokens, toxicity
+from tabulon.llm import decontam, imatch, licenses, packing, repeats, secrets, sharding, similar, simhash, suffix_array, token_counts, tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,6 +56,35 @@ def test_links_reach_everything_within_two_bits(spark):
                 assert got[a] == got[b]
 
 
+def test_near_duplicates_by_shingles(spark, docs, rows, nothing):
+    """Like brute force, for copies with few words replaced, which SimHash at two bits misses."""
+    import corpus_pipeline
+    rng = np.random.default_rng(11)
+    given = list(rows)
+    for n in range(40):
+        words = [f"v{x}" for x in rng.integers(0, 3000, rng.integers(100, 400))]
+        given.append((100 + 10 * n, " ".join(words)))
+        for copy in range(1, 4):
+            words = [w if rng.random() > 1 / 60 else f"r{rng.integers(0, 10**6)}" for w in words]
+            given.append((100 + 10 * n + copy, " ".join(words)))
+    sets = []
+    for _, t in given:
+        w = (t or "").lower().encode().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(given)))
+    for a in range(len(given)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[a] if g == group[b] else g for g in group]
+    least = {g: min((i for (i, _), h in zip(given, group) if h == g and i is not None), default=None) for g in group}
+    more = spark.createDataFrame(given, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in similar.near_duplicates(more).collect())
+    assert got == Counter((i, least[g]) for (i, _), g in zip(given, group))
+    kept = corpus_pipeline.drop_near_duplicates(spark, more, "")
+    assert {r.doc_id for r in kept.collect()} == {k for k in least.values() if k is not None} | {None}
+    assert similar.one_per_group(docs).columns == docs.columns and similar.near_duplicates(nothing).count() == 0
+
+
 @pytest.mark.parametrize("letters,size", [(1, 9), (2, 60), (4, 200), (900, 2000)])
 def test_suffix_array(letters, size):
     rng = np.random.default_rng(letters)
