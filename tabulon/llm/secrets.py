@@ -3,9 +3,10 @@
 Method: tokens are tagged as begin, inside or outside of a secret.  Features are a token's shape, its
 neighbouring words and features of the file; Viterbi decodes the best tags.  The field is
 trained here, by its exact gradient, on a bounded sample of documents (``SAMPLE_ROWS``, chosen by a hash)
-whose pattern matches are the labels.  A token can only be tagged if it is a run of at
-least ``CANDIDATE`` characters with a digit, so every other token is outside by constraint and
-whole texts decode exactly as the stretches around such runs.
+whose pattern matches are the labels.  Every token with a letter or digit may be tagged if its line has a key word
+or an assignment sign, or if its shape is mixed (letters with digits, or a capital after a small letter) or a number of ten
+signs or more; whatever its length, shape and neighbours decide.  What the patterns leave open (short values of their keys, values of other
+keys) is no label and left out of the training.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tabulon.llm.common import texts
+from tabulon.session import stored
 
 SAMPLE_ROWS = 6_000
-CANDIDATE = 10
 CONTEXT = 3  # tokens of a stretch on each side of a candidate
+CHUNK = 40  # tokens of one training case; longer stretches are cut
 ROUNDS = 80
 MASK = "[SECRET]"
 
@@ -36,9 +39,12 @@ KINDS = ("assign", "access", "hex", "crf")
 
 HINTS = ("pass", "secret", "token", "api")  # one of them is in every assign key
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
-LONG = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE)
+MIXED = re.compile(r"[A-Za-z][+/_.=-]*[0-9]|[0-9][+/_.=-]*[A-Za-z]|[a-z][A-Z]|(?=[+/_.=-]*[0-9])[0-9+/_.=-]{10,}")
+LINE = re.compile(r"[^\n]+")
 HEX_CLASS = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 KEYWORDS = frozenset("password passwd secret token api apikey api_key key pwd auth credential bearer".split())
+KEYED = re.compile(r"[=:]|(?i:passw|pwd|secret|token|api_?key|auth|credential|bearer|\bkey\b)", re.ASCII)
+OPEN_KEY = re.compile(r"""(?i:auth|pwd|key|credential|bearer)["']?\x20*[:=]""", re.ASCII)
 BEGIN, INSIDE, OUTSIDE = range(3)
 
 
@@ -55,24 +61,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _shape(token: str) -> list[str]:
+def label_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the secret parts of the fixed patterns: an assigned value without its key."""
+    out = [(a, b) for a, kind, b in base_spans(text) if kind]
+    return sorted(out + [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 12])
+
+
+def _undecided(line: str) -> bool:
+    """Whether the patterns say nothing on a value of this line."""
+    return OPEN_KEY.search(line) is not None or any(len(m[2]) < 12 for m in ASSIGN.finditer(line))
+
+
+@lru_cache(100_000)
+def _shape(token: str) -> tuple[str, ...]:
     """Shape features of a token."""
     digits = sum(c.isdigit() for c in token)
     upper = sum("A" <= c <= "Z" for c in token)
     lower = sum("a" <= c <= "z" for c in token)
     signs = len(token) - digits - upper - lower
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    return [
-        f"len{min(len(token) // 4, 10)}", f"kinds{digits > 0:d}{upper > 0:d}{lower > 0:d}{signs > 0:d}",
+    cases = sum(a.islower() != b.islower() for a, b in zip(token, token[1:]) if a.isalpha() and b.isalpha())
+    key, sign, value = token.lower().partition("=")
+    return (
+        f"len{min(len(token) // 8, 5)}", f"cases{min(cases // 2, 4)}", f"own{value != '' and key in KEYWORDS:d}", f"kinds{digits > 0:d}{upper > 0:d}{lower > 0:d}{signs > 0:d}",
         f"digits{10 * digits // len(token)}", f"upper{4 * upper // len(token)}", f"changes{min(changes // 2, 6)}",
-        f"dots{min(token.count('.'), 3)}", f"head{token[:4] if token[:4].isupper() else ''}"]
+        f"dots{min(token.count('.'), 3)}", f"head{token[:4] if token[:4].isupper() else ''}")
 
 
+@lru_cache(100_000)
 def _word(token: str) -> str:
-    """A neighbouring token as a feature: key words and signs by themselves, others by their class."""
-    low = token.lower()
-    if low in KEYWORDS or len(token) == 1 and not token.isalnum():
-        return low
+    """A neighbouring token as a feature: signs by themselves, key words and others by their class."""
+    if token.lower() in KEYWORDS:
+        return "KEY"
+    if len(token) == 1 and not token.isalnum():
+        return token
     return "digits" if token.isdigit() else "name" if token.isalpha() else "mixed"
 
 
@@ -82,35 +104,42 @@ def file_features(text: str) -> list[str]:
     return [f"equals{min(1000 * text.count('=') // n, 5)}", f"lines{min(200 * text.count(chr(10)) // n, 5)}"]
 
 
-def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[str]], list[bool]]]:
-    """Token spans, their features and whether each may be part of a secret, around the candidates of a text."""
-    found = [m.span() for m in LONG.finditer(text) if not m[0].isalpha() and any(c.isdigit() for c in m[0])]
-    if not found:
-        return
-    about = file_features(text)
-    k = 0
-    while k < len(found):
-        # candidates on one line and near each other share a stretch; 80 characters hold the context
-        first, last = found[k][0], found[k][1]
-        while k + 1 < len(found) and found[k + 1][0] - last <= 80 and "\n" not in text[last:found[k + 1][0]]:
-            k += 1
-            last = found[k][1]
-        k += 1
-        left = max(text.rfind("\n", max(0, first - 80), first) + 1, first - 80, 0)
-        right = text.find("\n", last, last + 80)
-        right = min(len(text), last + 80) if right < 0 else right
-        before = [(m.start() + left, m.end() + left) for m in TOKEN.finditer(text[left:first])][-CONTEXT:]
-        inside = [(m.start() + first, m.end() + first) for m in TOKEN.finditer(text[first:last])]
-        after = [(m.start() + last, m.end() + last) for m in TOKEN.finditer(text[last:right])][:CONTEXT]
-        spans = before + inside + after
+def _mixed(token: str) -> bool:
+    return MIXED.search(token) is not None
+
+
+def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple[str, ...]], list[bool]]]:
+    """Token spans, their features and whether each may be part of a secret: whole lines with a key
+    word or an assignment sign, and the tokens about those of mixed shape in other lines."""
+    about = None
+    for line in LINE.finditer(text):
+        keyed = KEYED.search(line[0]) is not None
+        if not keyed and MIXED.search(line[0]) is None:
+            continue
+        spans = [(m.start() + line.start(), m.end() + line.start()) for m in TOKEN.finditer(line[0])]
         tokens = [text[a:b] for a, b in spans]
-        allowed = [len(t) >= CANDIDATE and any(c.isdigit() for c in t) for t in tokens]
-        features = []
-        for i, token in enumerate(tokens):
-            features.append([
-                "all", *(_shape(token) if allowed[i] else ["plain"]),
-                *(f"{o}:{_word(tokens[i + o]) if 0 <= i + o < len(tokens) else 'edge'}" for o in (-3, -2, -1, 1, 2)), *about])
-        yield spans, features, allowed
+        if keyed:
+            allowed = [any(map(str.isalnum, t)) and t.isascii() for t in tokens]
+            parts = [(0, len(tokens))]
+        else:
+            allowed = [_mixed(t) for t in tokens]
+            parts = []
+            for i in (i for i, may in enumerate(allowed) if may):
+                left, right = max(0, i - CONTEXT), min(len(tokens), i + CONTEXT + 1)
+                if parts and left <= parts[-1][1]:
+                    parts[-1] = (parts[-1][0], right)
+                else:
+                    parts.append((left, right))
+        if parts and about is None:
+            about = tuple(file_features(text))
+        words = ["edge"] * 3 + [_word(t) for t in tokens] + ["edge"] * 2
+        for left, right in parts:
+            features = []
+            for i in range(left, right):
+                shape = _shape(tokens[i]) if allowed[i] else ("plain",)
+                features.append(("all", *shape, "-3:" + words[i], "-2:" + words[i + 1], "-1:" + words[i + 2],
+                                 "1:" + words[i + 4], "2:" + words[i + 5], *about))
+            yield spans[left:right], features, allowed[left:right]
 
 
 class Field:
@@ -118,24 +147,41 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
+        self.known: dict[tuple[str, ...], tuple[float, ...]] = {}
 
-    def scores(self, features: list[list[str]], allowed: list[bool]) -> np.ndarray:
-        get = self.names.get
-        out = np.array([self.weights[[get(f, 0) for f in fs]].sum(axis=0) for fs in features])
-        out[~np.array(allowed), :OUTSIDE] = -1e9
+    def scores(self, features: list[tuple[str, ...]], allowed: list[bool]) -> list[tuple[float, ...]]:
+        """Score of each tag at each token; equal features are summed up once."""
+        out = []
+        for fs, may in zip(features, allowed):
+            if not may:
+                fs = ("", *fs)
+            score = self.known.get(fs)
+            if score is None:
+                if len(self.known) >= 200_000:
+                    self.known.clear()
+                value = self.weights[[self.names.get(f, 0) for f in fs]].sum(axis=0)
+                if not may:
+                    value[:OUTSIDE] = -1e9
+                score = self.known[fs] = tuple(value.tolist())
+            out.append(score)
         return out
 
-    def decode(self, features: list[list[str]], allowed: list[bool]) -> list[int]:
+    def decode(self, features: list[tuple[str, ...]], allowed: list[bool]) -> list[int]:
         """Viterbi: the tags with the highest total score."""
-        score = self.scores(features, allowed)
-        best, back = score[0] + np.array([0.0, -1e9, 0.0]), []
+        score, moves, back = self.scores(features, allowed), self.moves.tolist(), []
+        best = [score[0][0], score[0][1] - 1e9, score[0][2]]
         for row in score[1:]:
-            paths = best[:, None] + self.moves
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + row
-        tags = [int(best.argmax())]
+            step, now = [], []
+            for tag in range(3):
+                x, y, z = best[0] + moves[0][tag], best[1] + moves[1][tag], best[2] + moves[2][tag]
+                top = 0 if x >= y and x >= z else 1 if y >= z else 2
+                step.append(top)
+                now.append((x, y, z)[top] + row[tag])
+            back.append(step)
+            best = now
+        tags = [max(range(3), key=best.__getitem__)]
         for step in reversed(back):
-            tags.append(int(step[tags[-1]]))
+            tags.append(step[tags[-1]])
         return tags[::-1]
 
     def spans(self, text: str) -> list[tuple[int, int]]:
@@ -217,25 +263,31 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
         for batch in batches:
             out = []
             for text in batch["text"]:
-                base = base_spans(text)
+                secret = label_spans(text)
                 for places, features, allowed in stretches(text):
+                    if _undecided(text[text.rfind("\n", 0, places[0][0]) + 1:places[-1][1]]):
+                        continue
                     tags, open_span = [], None
                     for (a, b), may in zip(places, allowed):
-                        span = next((s for s in base if s[0] < b and a < s[2]), None) if may else None
+                        span = next((s for s in secret if s[0] < b and a < s[1]), None) if may else None
                         tags.append(OUTSIDE if span is None else INSIDE if span == open_span else BEGIN)
                         open_span = span
-                    out.append(("\x1e".join("\x1f".join(fs) for fs in features), allowed, tags, any(t != OUTSIDE for t in tags)))
+                    for k in range(0, len(tags), CHUNK):
+                        part = slice(k, k + CHUNK)
+                        if tags[k] != INSIDE:
+                            out.append(("\x1e".join("\x1f".join(fs) for fs in features[part]), allowed[part], tags[part],
+                                        any(t != OUTSIDE for t in tags[part])))
             if out:
                 yield pd.DataFrame(out, columns=["features", "allowed", "tags", "positive"])
 
     found = chosen.where(F.col("order") <= picked).mapInPandas(
         cases, "features string, allowed array<boolean>, tags array<int>, positive boolean")
     # equal stretches teach nothing new; the bound on rows bounds what comes here
-    table = found.distinct().orderBy(F.xxhash64("features")).limit(4 * rows).collect()
-    positive = [r for r in table if r["positive"]]
+    table = stored(found.distinct())
+    positive = table.where("positive").orderBy(F.xxhash64("features")).limit(4 * rows).collect()
     if not positive:
         return None
-    negative = [r for r in table if not r["positive"]][:max(500, 2 * len(positive))]
+    negative = table.where("not positive").orderBy(F.xxhash64("features")).limit(max(500, 2 * len(positive))).collect()
     return train([([fs.split("\x1f") for fs in r["features"].split("\x1e")], list(r["allowed"]), list(r["tags"])) for r in positive + negative])
 
 

@@ -209,6 +209,22 @@ def test_field_learns_what_follows_a_key(spark):
     assert [text[a:b] for a, b in field.spans(text)] == [hashlib.md5(b"new").hexdigest().upper()]
 
 
+def test_field_tags_short_values_and_values_of_letters(spark):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    value = lambda n, digits: "".join(rng.choice(letters + list("0123456789") * digits, n))
+    lines = [f'{key}{sign}"{value(int(rng.integers(12, 30)), k % 2)}"' for k in range(80)
+             for key, sign in (("password", " = "), ("token", ": "), ("secret", " : "))]
+    lines += [f"passwd = {value(14, 1).lower()}" for _ in range(60)]
+    prose = "The river stone number Garden near meadow winter Harbour of amber signal it Copper thunder said they".split()
+    lines += [" ".join(w + str(rng.choice(["", "", "", ":", " =", ",", " 12"])) for w in rng.choice(prose, 14)) for _ in range(300)]
+    field = secrets.fit(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    for text, want in (("passwd = hunter2pw", ["hunter2pw"]), ('auth: "kJhGfDsAqWeRtYuIoP"', ["kJhGfDsAqWeRtYuIoP"]),
+                       ("The meadow: stone number 7 of the Garden", [])):
+        assert not secrets.base_spans(text)
+        assert [text[a:b] for a, b in field.spans(text)] == want
+
+
 def test_imatch(docs, rows, nothing):
     got = imatch.compare_edits(docs).toPandas()
     known = sorted({(-(2**63) if i is None else i, t or "") for i, t in rows})
