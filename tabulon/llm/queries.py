@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontam, imatch, licenses, packing, repeats, secrets, sharding, simhash, token_counts, toxicity
+from tabulon.llm import decontam, imatch, licenses, packing, periodic, repeats, resampling, secrets, sharding, simhash, token_counts, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,47 @@ def op10_decontamination(spark, folder):
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+RULES = (urls.Rule("allow", "com/"), urls.Rule("block", "example.com/en/"), urls.Rule("allow", "www.example.com/en/"),
+         urls.Rule("block", "net/es/"), urls.Rule("block", "net/fr/"))
+
+
+@query
+def op11_urls(spark, folder):
+    return urls.judged(table(spark, folder, "pages"), RULES, urls.fit(urls.labelled_urls(spark)))
+
+
+@query
+def op12_resampling(spark, folder):
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which a tenth of the documents, by a checksum of the id, repeat one stretch of words to their end."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    at = split.withColumn("g", F.floor(F.col("h") / 10)).withColumn("n", F.size("words").cast("long"))
+    at = at.withColumn("a", F.expr("if(n > 0, g % greatest(n, 1), 0)"))
+    at = at.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    period = F.expr("slice(words, cast(a + 1 as int), cast(p as int))")
+    times = F.expr("cast(2 + (n - a) div p as int)")
+    tail = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), F.expr("cast(n - a as int)"))
+    changed = F.array_join(F.concat(F.expr("slice(words, 1, cast(a as int))"), tail), " ")
+    return at.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic(spark, folder):
+    found = periodic.runs(with_periods(table(spark, folder, "documents")))
+    best = F.expr("""aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>),
+        (best, r) -> if(best is null or r.length * best.period > best.length * r.period, r, best))""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def oracles() -> dict[str, str]:
     """SQL with the same rows, for the queries that SQL can express on whole tables: none of these."""
     return dict(ORACLES)
