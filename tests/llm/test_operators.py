@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tabulon.llm import decontam, imatch, licenses, packing, repeats, secrets, sharding, similar, simhash, suffix_array, token_counts, tokens, toxicity
+from tabulon.llm import decontam, imatch, licenses, packing, repeats, secrets, sharding, simhash, suffix_array, token_counts, tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,51 +38,27 @@ def test_simhash(docs, rows, nothing):
     want = {(i, f, min((prints[k][0] for k in groups[n] if prints[k][0] is not None), default=None)) for n, (i, f) in enumerate(prints)}
     assert got == want
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.one_per_group(docs)
-    assert kept.columns == docs.columns
+    more = docs.withColumn("__first", docs.rank)  # a clashing name
+    kept = simhash.one_per_group(more)
+    assert kept.columns == more.columns
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want if c is not None} | {None}
 
 
-def test_links_reach_everything_within_two_bits(spark):
-    rng = np.random.default_rng(1)
-    base = int(rng.integers(0, 2**62))
-    values = {base} | {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (60, 2))} | set(map(int, rng.integers(0, 2**62, 40)))
+@pytest.mark.parametrize("radius,bucket", [(0, 256), (1, 256), (2, 256), (2, 3), (3, 256), (3, 2), (4, 5)])
+def test_links_are_all_pairs_within_the_radius(spark, radius, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)  # small: frequent values are cut by further indexes
+    rng = np.random.default_rng(radius)
+    values = set(map(int, rng.integers(-2**63, 2**63 - 1, 40)))
+    for base in list(values)[:3]:
+        for _ in range(60):
+            near = base
+            for bit in rng.integers(0, 64, rng.integers(1, 5)).tolist():
+                near ^= (1 << bit) - (1 << 64 if bit == 63 else 0)
+            values.add(near)
     prints = spark.createDataFrame([(v,) for v in values], "fp long")
-    from tabulon.llm.components import components
-    got = {r.node: r.component for r in components(simhash.links(prints)).collect()}
-    for a in values:
-        for b in values:
-            if bin(a ^ b).count("1") <= 2 and a != b:
-                assert got[a] == got[b]
-
-
-def test_near_duplicates_by_shingles(spark, docs, rows, nothing):
-    """Like brute force, for copies with few words replaced, which SimHash at two bits misses."""
-    import corpus_pipeline
-    rng = np.random.default_rng(11)
-    given = list(rows)
-    for n in range(40):
-        words = [f"v{x}" for x in rng.integers(0, 3000, rng.integers(100, 400))]
-        given.append((100 + 10 * n, " ".join(words)))
-        for copy in range(1, 4):
-            words = [w if rng.random() > 1 / 60 else f"r{rng.integers(0, 10**6)}" for w in words]
-            given.append((100 + 10 * n + copy, " ".join(words)))
-    sets = []
-    for _, t in given:
-        w = (t or "").lower().encode().split()
-        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    group = list(range(len(given)))
-    for a in range(len(given)):
-        for b in range(a):
-            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                group = [group[a] if g == group[b] else g for g in group]
-    least = {g: min((i for (i, _), h in zip(given, group) if h == g and i is not None), default=None) for g in group}
-    more = spark.createDataFrame(given, "doc_id long, text string")
-    got = Counter((r.doc_id, r.component_id) for r in similar.near_duplicates(more).collect())
-    assert got == Counter((i, least[g]) for (i, _), g in zip(given, group))
-    kept = corpus_pipeline.drop_near_duplicates(spark, more, "")
-    assert {r.doc_id for r in kept.collect()} == {k for k in least.values() if k is not None} | {None}
-    assert similar.one_per_group(docs).columns == docs.columns and similar.near_duplicates(nothing).count() == 0
+    got = {frozenset(r) for r in simhash.links(prints, radius).collect()}
+    ones = {v: v & (2**64 - 1) for v in values}
+    assert got == {frozenset((a, b)) for a in values for b in values if a < b and bin(ones[a] ^ ones[b]).count("1") <= radius}
 
 
 @pytest.mark.parametrize("letters,size", [(1, 9), (2, 60), (4, 200), (900, 2000)])
