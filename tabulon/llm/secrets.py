@@ -3,7 +3,9 @@
 Method: tokens are tagged as begin, inside or outside of a secret.  Features are a token's shape, its
 neighbouring words and features of the file; Viterbi decodes the best tags.  The field is
 trained here, by its exact gradient, on a bounded sample of documents (``SAMPLE_ROWS``, chosen by a hash)
-whose pattern matches are the labels.  Every token with a letter or digit may be tagged if its line has a key word
+whose pattern matches are the labels.  So that it learns more than the patterns, every match also gives cases
+made from it (``variants``): another key, another sign, a shorter or differently spelled value, no known prefix, no key at all;
+and every sampled line may give one in which a key stands before an ordinary word, which is no secret.  Every token with a letter or digit may be tagged if its line has a key word
 or an assignment sign, or if its shape is mixed (letters with digits, or a capital after a small letter) or a number of ten
 signs or more; whatever its length, shape and neighbours decide.  What the patterns leave open (short values of their keys, values of other
 keys) is no label and left out of the training.
@@ -12,8 +14,10 @@ keys) is no label and left out of the training.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +31,7 @@ from tabulon.session import stored
 
 SAMPLE_ROWS = 6_000
 CONTEXT = 3  # tokens of a stretch on each side of a candidate
+CASES = 1_000  # training cases with a secret at most; as many lines as they are, and as many with a key before a word, stand beside them
 CHUNK = 40  # tokens of one training case; longer stretches are cut
 ROUNDS = 80
 MASK = "[SECRET]"
@@ -42,8 +47,15 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
 MIXED = re.compile(r"[A-Za-z][+/_.=-]*[0-9]|[0-9][+/_.=-]*[A-Za-z]|[a-z][A-Z]|(?=[+/_.=-]*[0-9])[0-9+/_.=-]{10,}")
 LINE = re.compile(r"[^\n]+")
 HEX_CLASS = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
-KEYWORDS = frozenset("password passwd secret token api apikey api_key key pwd auth credential bearer".split())
+KEY_STEMS = re.compile(r"(?i)pass(?:w|ph|code|$)|_pass|pwd|secret|token|api_?key|(?:^|_)key$|auth|credential|bearer")
+# keys, signs and letters of the cases that are made from real matches
+OTHER_KEYS = "pwd passphrase db_pass auth credential client_secret access_key private_key bearer user_token password passwd secret token api_key".split()
+SIGNS = (" = ", ": ", "=", " : ", ' = "', ": '", " ")
+LETTERS = ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefABCDEFghijkLMNOPQRSTuvwxyz0123456789",
+           "abcdefghijkLMNOPQRSTUVWXYZlmnopqrstuvwxyzABCDEFGHIJK", "0123456789abcdef")
+NEARBY = 120  # characters kept around a match in such a case
 KEYED = re.compile(r"[=:]|(?i:passw|pwd|secret|token|api_?key|auth|credential|bearer|\bkey\b)", re.ASCII)
+PLAIN_WORD = re.compile(r"(?<![^\s])[a-z]{3,12}(?![^\s.,])")
 OPEN_KEY = re.compile(r"""(?i:auth|pwd|key|credential|bearer)["']?\x20*[:=]""", re.ASCII)
 BEGIN, INSIDE, OUTSIDE = range(3)
 
@@ -83,7 +95,7 @@ def _shape(token: str) -> tuple[str, ...]:
     cases = sum(a.islower() != b.islower() for a, b in zip(token, token[1:]) if a.isalpha() and b.isalpha())
     key, sign, value = token.lower().partition("=")
     return (
-        f"len{min(len(token) // 8, 5)}", f"cases{min(cases // 2, 4)}", f"own{value != '' and key in KEYWORDS:d}", f"kinds{digits > 0:d}{upper > 0:d}{lower > 0:d}{signs > 0:d}",
+        f"len{min(len(token) // 4, 6)}", f"cases{min(cases // 2, 4)}", f"own{value != '' and KEY_STEMS.search(key) is not None:d}", f"kinds{digits > 0:d}{upper > 0:d}{lower > 0:d}{signs > 0:d}",
         f"digits{10 * digits // len(token)}", f"upper{4 * upper // len(token)}", f"changes{min(changes // 2, 6)}",
         f"dots{min(token.count('.'), 3)}", f"head{token[:4] if token[:4].isupper() else ''}")
 
@@ -91,7 +103,7 @@ def _shape(token: str) -> tuple[str, ...]:
 @lru_cache(100_000)
 def _word(token: str) -> str:
     """A neighbouring token as a feature: signs by themselves, key words and others by their class."""
-    if token.lower() in KEYWORDS:
+    if KEY_STEMS.search(token):
         return "KEY"
     if len(token) == 1 and not token.isalnum():
         return token
@@ -108,10 +120,49 @@ def _mixed(token: str) -> bool:
     return MIXED.search(token) is not None
 
 
-def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple[str, ...]], list[bool]]]:
+def variants(text: str, rng: random.Random, keys: Sequence[str] = tuple(OTHER_KEYS)) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Pieces of the text around its pattern matches, changed: (piece, spans of its secrets).
+
+    Each match gives one piece with another key and a value of 8 to 24 characters, and one with no key or prefix around a value of 16 or
+    more; other matches in reach stay and are secrets too.
+    """
+    keyed = {m.span(2): m.start() for m in ASSIGN.finditer(text) if len(m[2]) >= 12}
+    for a, b in sorted(set(label_spans(text))):
+        value = text[a:b]
+        begin = keyed.get((a, b), a)
+        left = text[max(0, begin - NEARBY):begin].rpartition("\n")[2]
+        right = text[b:b + NEARBY].partition("\n")[0].lstrip("\"'")
+        for named in (True, False):
+            letters = rng.choice(LETTERS)
+            made = "".join(rng.choice(letters) for _ in range(rng.randint(8, 24) if named else rng.randint(16, max(17, len(value)))))
+            if named and rng.random() < 0.3:
+                made = value[-rng.randint(8, 11):]
+            if not any(c.isdigit() for c in made) and (len(made) < 14 or letters != LETTERS[3]):
+                made = made[:-2] + str(rng.randint(10, 99))
+            sign = rng.choice(SIGNS)
+            key = rng.choice(keys)
+            front = (key.capitalize() if rng.random() < 0.3 else key) + sign if named else ""
+            close = sign[-1] if sign[-1] in "\"'" and named else ""
+            start = len(left) + len(front)
+            after = close if right[:1] in ("", " ") else close + " "
+            past = start + len(made) + len(after)
+            yield left + front + made + after + right, [
+                *label_spans(left), (start, start + len(made)), *[(s + past, e + past) for s, e in label_spans(right)]]
+
+
+def harmless(text: str, rng: random.Random, keys: Sequence[str] = tuple(OTHER_KEYS)) -> Iterator[str]:
+    """A piece of the text in which a key stands before one of its ordinary words."""
+    words = list(PLAIN_WORD.finditer(text[:4 * NEARBY]))
+    if words:
+        word = rng.choice(words)
+        left, right = text[max(0, word.start() - NEARBY):word.start()].rpartition("\n")[2], text[word.start():word.end() + NEARBY].partition("\n")[0]
+        if not label_spans(left) and not label_spans(right):
+            yield left + rng.choice(keys) + rng.choice((" = ", ": ", "=", " ", " of the ", " is ")) + right
+
+
+def stretches(text: str, about: tuple[str, ...] | None = None) -> Iterator[tuple[list[tuple[int, int]], list[tuple[str, ...]], list[bool]]]:
     """Token spans, their features and whether each may be part of a secret: whole lines with a key
-    word or an assignment sign, and the tokens about those of mixed shape in other lines."""
-    about = None
+    word or an assignment sign, and the tokens about those of mixed shape in other lines.  ``about`` are the features of the file."""
     for line in LINE.finditer(text):
         keyed = KEYED.search(line[0]) is not None
         if not keyed and MIXED.search(line[0]) is None:
@@ -197,6 +248,35 @@ class Field:
         return out
 
 
+def likelihood(weights: np.ndarray, moves: np.ndarray, index: np.ndarray, mask: np.ndarray, barred: np.ndarray,
+               gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of the gold tags over all cases, with its gradient by ``weights`` and ``moves``.
+
+    ``index`` has the features of each token (0: none), ``mask`` the tokens there are, ``barred`` those that must be outside, ``gold`` their tags, one-hot.
+    """
+    length, width = index.shape[1:]
+    start = np.array([0.0, -1e9, 0.0])
+    score = weights[index].sum(axis=2)
+    score[barred, :OUTSIDE] = -1e9
+    ahead, behind = np.zeros_like(score), np.zeros_like(score)
+    ahead[:, 0] = score[:, 0] + start
+    for t in range(1, length):
+        ahead[:, t] = np.where(mask[:, t, None], np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1) + score[:, t], ahead[:, t - 1])
+    for t in range(length - 2, -1, -1):
+        behind[:, t] = np.where(mask[:, t + 1, None], np.logaddexp.reduce(moves + (score[:, t + 1] + behind[:, t + 1])[:, None], axis=2), 0.0)
+    total = np.logaddexp.reduce(ahead[:, -1], axis=1)
+    chance = np.exp(ahead + behind - total[:, None, None]) * mask[..., None]
+    pairs = np.exp(ahead[:, :-1, :, None] + moves + (score[:, 1:] + behind[:, 1:])[:, :, None] - total[:, None, None, None])
+    gold_moves = np.einsum("ntj,ntk->jk", gold[:, :-1], gold[:, 1:])
+    change = gold_moves - (pairs * mask[:, 1:, None, None]).sum(axis=(0, 1))
+    gradient = np.zeros_like(weights)
+    for w in range(width):
+        np.add.at(gradient, index[..., w], gold - chance)
+    gradient[0] = 0
+    value = (gold * np.where(gold > 0, score + (np.arange(length) == 0)[:, None] * start, 0.0)).sum() + (gold_moves * moves)[gold_moves > 0].sum() - total.sum()
+    return float(value), gradient, change
+
+
 def train(cases: list[tuple[list[list[str]], list[bool], list[int]]], rounds: int = ROUNDS) -> Field:
     """Fit a field to (features, allowed, tags) by its exact log-likelihood gradient, all cases at once."""
     names: dict[str, int] = {"": 0}
@@ -217,30 +297,12 @@ def train(cases: list[tuple[list[list[str]], list[bool], list[int]]], rounds: in
     barred |= ~mask
     weights, moves = np.zeros((len(names), 3)), np.zeros((3, 3))
     moves[OUTSIDE, INSIDE] = -1e9  # a secret starts with its begin
-    start = np.array([0.0, -1e9, 0.0])
     gold = np.eye(3)[tags] * mask[..., None]
     steps = [(np.zeros_like(weights), np.zeros_like(weights)), (np.zeros_like(moves), np.zeros_like(moves))]
-    gold_moves = np.einsum("ntj,ntk->jk", gold[:, :-1], gold[:, 1:])
     for r in range(1, rounds + 1):
-        score = weights[index].sum(axis=2)
-        score[barred, :OUTSIDE] = -1e9
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = score[:, 0] + start
-        for t in range(1, length):
-            ahead[:, t] = np.where(mask[:, t, None], np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1) + score[:, t], ahead[:, t - 1])
-        for t in range(length - 2, -1, -1):
-            behind[:, t] = np.where(mask[:, t + 1, None], np.logaddexp.reduce(moves + (score[:, t + 1] + behind[:, t + 1])[:, None], axis=2), 0.0)
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        chance = np.exp(ahead + behind - total[:, None, None]) * mask[..., None]
-        pairs = np.exp(ahead[:, :-1, :, None] + moves + (score[:, 1:] + behind[:, 1:])[:, :, None] - total[:, None, None, None])
-        expected = (pairs * mask[:, 1:, None, None]).sum(axis=(0, 1))
-        rest = (gold - chance)
-        gradient = np.zeros_like(weights)
-        for w in range(width):
-            np.add.at(gradient, index[..., w], rest)
-        gradient[0] = 0
+        _, gradient, change = likelihood(weights, moves, index, mask, barred, gold)
         gradient = gradient / n - 1e-4 * weights
-        change = (gold_moves - expected) / n - 1e-4 * np.where(moves < -1e8, 0, moves)
+        change = change / n - 1e-4 * np.where(moves < -1e8, 0, moves)
         change[OUTSIDE, INSIDE] = 0
         for values, g, (m, v) in ((weights, gradient, steps[0]), (moves, change, steps[1])):
             m += 0.1 * (g - m)
@@ -252,9 +314,9 @@ def train(cases: list[tuple[list[list[str]], list[bool], list[int]]], rounds: in
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
     """A field trained on at most ``rows`` documents; ``None`` where the sample has no secret.
 
-    The sample keeps stretches with a label and, of the others, as many again.
+    The sample keeps stretches with a label and, of the others, twice as many.  Repeated rows are drawn one by one.
     """
-    chosen = texts(docs).withColumn("order", F.xxhash64("text", "doc_id"))
+    chosen = texts(docs).withColumn("order", F.xxhash64("text", "doc_id", F.monotonically_increasing_id()))
     picked = chosen.select("order").orderBy("order").limit(rows).agg(F.max("order")).first()[0]
     if picked is None:
         return None
@@ -263,31 +325,36 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field | None:
         for batch in batches:
             out = []
             for text in batch["text"]:
-                secret = label_spans(text)
-                for places, features, allowed in stretches(text):
-                    if _undecided(text[text.rfind("\n", 0, places[0][0]) + 1:places[-1][1]]):
-                        continue
-                    tags, open_span = [], None
-                    for (a, b), may in zip(places, allowed):
-                        span = next((s for s in secret if s[0] < b and a < s[1]), None) if may else None
-                        tags.append(OUTSIDE if span is None else INSIDE if span == open_span else BEGIN)
-                        open_span = span
-                    for k in range(0, len(tags), CHUNK):
-                        part = slice(k, k + CHUNK)
-                        if tags[k] != INSIDE:
-                            out.append(("\x1e".join("\x1f".join(fs) for fs in features[part]), allowed[part], tags[part],
-                                        any(t != OUTSIDE for t in tags[part])))
+                rng = random.Random(zlib.crc32(text.encode()))
+                about = tuple(file_features(text))
+                given = [(text, label_spans(text), True)] + [(*v, False) for v in variants(text, rng)] + [(v, [], False) for v in harmless(text, rng)]
+                for piece, secret, real in given:
+                    for places, features, allowed in stretches(piece, about):
+                        if real and _undecided(piece[piece.rfind("\n", 0, places[0][0]) + 1:places[-1][1]]):
+                            continue
+                        tags, open_span = [], None
+                        for (a, b), may in zip(places, allowed):
+                            span = next((s for s in secret if s[0] < b and a < s[1]), None) if may else None
+                            tags.append(OUTSIDE if span is None else INSIDE if span == open_span else BEGIN)
+                            open_span = span
+                        for k in range(0, len(tags), CHUNK):
+                            part = slice(k, k + CHUNK)
+                            if tags[k] != INSIDE:
+                                out.append(("\x1e".join("\x1f".join(fs) for fs in features[part]), allowed[part], tags[part],
+                                            any(t != OUTSIDE for t in tags[part]), real))
             if out:
-                yield pd.DataFrame(out, columns=["features", "allowed", "tags", "positive"])
+                yield pd.DataFrame(out, columns=["features", "allowed", "tags", "positive", "real"])
 
     found = chosen.where(F.col("order") <= picked).mapInPandas(
-        cases, "features string, allowed array<boolean>, tags array<int>, positive boolean")
+        cases, "features string, allowed array<boolean>, tags array<int>, positive boolean, real boolean")
     # equal stretches teach nothing new; the bound on rows bounds what comes here
     table = stored(found.distinct())
-    positive = table.where("positive").orderBy(F.xxhash64("features")).limit(4 * rows).collect()
+    positive = table.where("positive").orderBy(F.xxhash64("features")).limit(CASES).collect()
     if not positive:
         return None
-    negative = table.where("not positive").orderBy(F.xxhash64("features")).limit(max(500, 2 * len(positive))).collect()
+    negative = []
+    for real in ("real", "not real"):  # lines as they are, and lines with a key before a word
+        negative += table.where(f"not positive and {real}").orderBy(F.xxhash64("features")).limit(max(500, len(positive))).collect()
     return train([([fs.split("\x1f") for fs in r["features"].split("\x1e")], list(r["allowed"]), list(r["tags"])) for r in positive + negative])
 
 

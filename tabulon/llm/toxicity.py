@@ -1,15 +1,16 @@
 """Toxicity scores from a weighted finite-state grammar over clauses.
 
 Method: a lexer maps words to symbols (insult, threat, target, negation, reported speech, other);
-five small weighted transducers over these symbols are composed into one machine, which reads
-a clause and adds up insult and threat weights, raised by a target nearby, lowered by a
-negation before them and in reported speech.  A document's features are its
-clause scores, not counts of isolated words; a logistic model turns them into a probability.
+small weighted transducers over these symbols are composed into one machine, which reads a clause and weighs its insults and
+threats, raised by a target nearby.  A second composed machine tells whether a word stands behind a negation or in reported
+speech.  So a clause has four outputs: insults said outright, threats said outright, negated and reported ones.  A document's
+features are sums over its clauses, not counts of isolated words; a logistic model with sign constraints turns them
+into a probability: what is said outright can only raise it, what is negated or reported can only lower it.
 
 The insult lexicon starts from fixed words and grows from labelled rows: words and word
 beginnings that are significantly more frequent in toxic documents.  Learning uses a
-bounded sample (``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled documents, chosen by a hash of their id);
-every document is scored whole.
+bounded sample (``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled documents, chosen by a hash of their id) and a few
+sentences made of the fixed words (``lessons``), each outright, negated and reported; every document is scored whole.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -33,10 +35,9 @@ from tabulon.llm.common import texts
 from tabulon.session import stored
 
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 9_000  # labelled documents the model is fitted on, at most
-ENTRIES = 4_000  # lexicon entries, at most: the most significant ones
 SIGNIFICANT = 16.0  # likelihood ratio of an entry
 CLEAR = 1.4  # lower bound of an entry's log odds
-STRONG = 3.5  # weight from which a word counts as plainly toxic
+LESSON_SHARE = 0.05  # weight of the made sentences against all labelled rows
 BEGINNINGS = range(4, 9)  # letters of a word beginning
 
 # Fixed starting words, in four languages.
@@ -49,6 +50,8 @@ REPORTS = "said says wrote quoted claimed called reported sagte schrieb dit écr
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.,;:!?\n|]")
 BREAKS = frozenset(".,;:!?\n|")
+LEADS = frozenset(",:")  # after a word of reporting these lead into what was said
+AIM = 2.0  # weight of a target that a threat is followed by
 SYMBOLS = INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 
 
@@ -85,14 +88,26 @@ def compose(parts: list[Transducer]) -> Transducer:
         tuple(tuple(math.prod(p.weight[k][s] for p, k in zip(parts, state)) for s in SYMBOLS) for state in states))
 
 
+def aimed(length: int) -> Transducer:
+    """A target counts by itself only within ``length`` symbols after a threat."""
+    move, weight = [], []
+    for state in range(length + 1):
+        move.append(tuple(length if s == THREAT else 0 if s == TARGET else max(0, state - 1) for s in SYMBOLS))
+        weight.append(tuple(float(state > 0) if s == TARGET else 1.0 for s in SYMBOLS))
+    return Transducer(tuple(move), tuple(weight))
+
+
 GRAMMAR = compose([
-    Transducer(((0,) * 6,), ((1.0, 1.0, 0.0, 0.0, 0.0, 0.0),)),  # insult: its own weight
-    Transducer(((0, 1, 0, 0, 0, 0), (0, 1, 0, 0, 0, 0)), ((1.0, 0.6, 1.0, 1.0, 1.0, 1.0),) * 2),  # threat: weaker alone
+    Transducer(((0,) * 6,), ((1.0, 0.6, 1.0, 0.0, 0.0, 0.0),)),  # only insults, threats (weaker alone) and targets weigh anything
     window(TARGET, 4, {INSULT: 1.3, THREAT: 2.0}),
-    window(NEGATION, 3, {INSULT: 0.5, THREAT: 0.3}),
-    latch(REPORT, {INSULT: 0.6, THREAT: 0.4}),
+    aimed(3),
 ])
-SHIELDED = compose([window(NEGATION, 3, {INSULT: 0.0, THREAT: 0.0}), latch(REPORT, {INSULT: 0.0, THREAT: 0.0})])
+# factors 1, 2 and 3: outright, behind a negation, in reported speech (which wins)
+SHADES = compose([window(NEGATION, 3, dict.fromkeys((INSULT, THREAT, TARGET), 2.0)), latch(REPORT, dict.fromkeys((INSULT, THREAT, TARGET), 3.0))])
+OUTRIGHT, NEGATED, REPORTED = range(3)
+FEATURES = ("outright", "highest", "clauses", "targeted", "density", "threats", "negated", "reported")
+NEVER_LOWER, NEVER_RAISE = FEATURES[:6], FEATURES[6:]
+UNTRAINED = ([1.0, 0.2, 0.3, 0.3, 0.1, 2.0, -0.5, -0.5], -3.0)
 
 
 class Lexicon:
@@ -145,26 +160,26 @@ class Lexicon:
         return False
 
     def features(self, text: str, own: int | None = None) -> list[float]:
-        """Clause features of a whole text: total, highest, matched clauses, kinds, targeted, shielded, density, strong.
-
-        An entry counts once per clause.
-        """
+        """The ``FEATURES`` of a whole text; an entry counts once per clause and kind."""
         low = text.lower()
         if not self.touches(low):
-            return [0.0] * 8
+            return [0.0] * len(FEATURES)
         weights, entries, plain = self.weights[0 if own is None else own + 1], self.entries, self.plain
-        total = highest = targeted = shielded = strong = 0.0
-        clauses, kinds, n_words = 0, set(), 0
-        state, shade, clause, target, said = 0, 0, 0.0, False, set()
-        move, weight = GRAMMAR.move, GRAMMAR.weight
+        total = highest = targeted = threats = 0.0
+        shielded = [0.0, 0.0, 0.0]
+        clauses = n_words = 0
+        move, weight, shift, shades = GRAMMAR.move, GRAMMAR.weight, SHADES.move, SHADES.weight
+        state, shade, clause, target, said, told = 0, 0, 0.0, False, set(), 9
         for word in [*WORD.findall(low), "."]:
             if word in BREAKS:
+                if word in LEADS and told <= 2:
+                    continue
                 if clause > 0:
                     total += clause
                     clauses += 1
                     highest = max(highest, clause)
                     targeted += clause if target else 0.0
-                state, shade, clause, target, said = 0, 0, 0.0, False, set()
+                state, shade, clause, target, said, told = 0, 0, 0.0, False, set(), 9
                 continue
             n_words += 1
             symbol, value = plain.get(word, OTHER), 0.0
@@ -179,16 +194,25 @@ class Lexicon:
                     value, best = weights[begin], begin
             if symbol == OTHER and value > 0:
                 symbol = INSULT
-            if symbol <= THREAT and value > 0 and best not in said:
-                said.add(best)
-                kinds.add(best)
-                strong += weight[state][symbol] if value >= STRONG else 0.0
-                clause += value * weight[state][symbol]
-                shielded += value * (1 - SHIELDED.weight[shade][symbol])
+            elif symbol == TARGET:
+                value, best = AIM, "target"
+            if symbol <= TARGET and value > 0:
+                value *= weight[state][symbol]
+                factor = shades[shade][symbol]
+                kind = REPORTED if factor >= 3 else NEGATED if factor == 2 else OUTRIGHT
+                if value > 0 and (kind, best) not in said:
+                    said.add((kind, best))
+                    if kind != OUTRIGHT:
+                        shielded[kind] += value
+                    elif symbol == INSULT:
+                        clause += value
+                    else:
+                        threats += value
             target = target or symbol == TARGET
-            state, shade = move[state][symbol], SHIELDED.move[shade][symbol]
-        return [math.log1p(total), highest, math.log1p(clauses), math.log1p(len(kinds)), math.log1p(targeted),
-                math.log1p(shielded), total / math.sqrt(1 + n_words), math.log1p(strong)]
+            told = 0 if symbol == REPORT else told + 1
+            state, shade = move[state][symbol], shift[shade][symbol]
+        return [math.log1p(total), highest, math.log1p(clauses), math.log1p(targeted), total / math.sqrt(1 + n_words),
+                math.log1p(threats), math.log1p(shielded[NEGATED]), math.log1p(shielded[REPORTED])]
 
 
 def likelihood_ratio(a: int, b: int, n1: int, n0: int) -> float:
@@ -215,7 +239,7 @@ _lexicons: dict[int, tuple[Model, Lexicon]] = {}
 
 def lexicon_of(model: Model) -> Lexicon:
     """The worker's lexicon for a model; the last one is kept."""
-    key = hash((model.toxic, model.clean, len(model.counts), tuple(sorted(model.counts))[:50]))
+    key = hash((model.toxic, model.clean, frozenset(model.counts.items())))
     if key not in _lexicons:
         _lexicons.clear()
         _lexicons[key] = (model, Lexicon(model.counts, model.toxic, model.clean))
@@ -245,6 +269,16 @@ def _count(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return rows.select("text").mapInPandas(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
+def lessons() -> list[tuple[str, int]]:
+    """Sentences of the fixed words: outright (1), negated and reported (0)."""
+    out = []
+    for word in INSULTS:
+        out += [(f"you are such a {word}", 1), (f"you are not {word}", 0), (f"he said you are a {word}", 0), (f"they wrote: {word}", 0)]
+    for word in THREATS:
+        out += [(f"I will {word} you", 1), (f"we will {word} them", 1), (f"I never {word} you", 0), (f"she said, I will {word} you", 0), (f"they {word} time", 0)]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn lexicon and calibration from labelled rows that are not held out.
 
@@ -261,12 +295,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
-        return Model({}, toxic, clean, [1.0, 0.1, 0.5, 0.5, 0.2, -0.3, 0.3, 1.0], -3.0)
-    least = 3 if toxic < 200 else 5
-    in_toxic = {r["entry"]: r["n"] for r in _count(sample.where("toxic = 1"), None).where(F.col("n") >= least).collect()}
+        return Model({}, toxic, clean, *UNTRAINED)
+    # what only one document says tells nothing about others
+    in_toxic = {r["entry"]: r["n"] for r in _count(sample.where("toxic = 1"), None).where(F.col("n") > 1).collect()}
     in_clean = {r["entry"]: r["n"] for r in _count(sample.where("toxic = 0"), frozenset(in_toxic)).collect()}
-    ranked = sorted(((likelihood_ratio(n, in_clean.get(e, 0), toxic, clean), e) for e, n in in_toxic.items()), reverse=True)
-    counts = {e: (in_toxic[e], in_clean.get(e, 0)) for g, e in ranked[:ENTRIES] if g >= SIGNIFICANT / 2}
+    counts = {e: (n, in_clean.get(e, 0)) for e, n in in_toxic.items() if likelihood_ratio(n, in_clean.get(e, 0), toxic, clean) >= SIGNIFICANT / 2}
     counts |= {w: (in_toxic.get(w, 0), in_clean.get(w, 0)) for w in (*INSULTS, *THREATS)}
     draft = Model(counts, toxic, clean, [], 0.0)
 
@@ -276,9 +309,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return pd.Series([lexicon.features(t, int(y)) for t, y in zip(text, label)])
 
     share = {1: totals.get(1, 1) / toxic, 0: totals.get(0, 1) / clean}
-    ready = stored(sample.select(measure("text", "toxic").alias("x"), F.col("toxic").cast("double").alias("label"), F.when(
-        F.col("toxic") == 1, share[1]).otherwise(share[0]).alias("weight"))).withColumn("features", array_to_vector("x"))
-    learned = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=60).fit(ready)
+    measured = sample.select(measure("text", "toxic").alias("x"), F.col("toxic").cast("double").alias("label"), F.when(
+        F.col("toxic") == 1, share[1]).otherwise(share[0]).alias("weight"))
+    taught = [(lexicon_of(draft).features(text), float(label)) for text, label in lessons()]
+    each = LESSON_SHARE * (totals.get(1, 1) + totals.get(0, 1)) / len(taught)
+    extra = docs.sparkSession.createDataFrame([(x, y, each) for x, y in taught], "x array<double>, label double, weight double")
+    ready = stored(measured.union(extra)).withColumn("features", array_to_vector("x"))
+    bound = float("inf")
+    learned = LogisticRegression(
+        weightCol="weight", maxIter=100, lowerBoundsOnCoefficients=Matrices.dense(1, len(FEATURES), [
+            0.0 if f in NEVER_LOWER else -bound for f in FEATURES]),
+        upperBoundsOnCoefficients=Matrices.dense(1, len(FEATURES), [0.0 if f in NEVER_RAISE else bound for f in FEATURES]),
+    ).setRegParam(1e-3).fit(ready)
     return Model(counts, toxic, clean, [float(w) for w in learned.coefficients], float(learned.intercept))
 
 
