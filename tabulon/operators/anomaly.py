@@ -18,6 +18,7 @@ from .quantiles import column_quantiles
 
 SAMPLE = 256
 EULER = 0.5772156649015329
+NODES = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
 
 
 def _mean_path(n: float) -> float:
@@ -81,11 +82,29 @@ def isolation_forest(
     ``key`` is unique per row.  The forest has ``trees`` x 2 x ``sample`` nodes at most,
     whatever the size of the data, so it travels with the task.
     """
-    samples = _tree_samples(df, key, columns, trees, sample)
-    schema = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
-    grown = samples.groupBy("tree").applyInPandas(_grow, schema).orderBy("tree").collect()
+    grown = _tree_samples(df, key, columns, trees, sample).groupBy("tree").applyInPandas(_grow, NODES).orderBy("tree").collect()
     forest = [tuple(np.array(t[n]) for n in ("feature", "cut", "left", "right", "depth")) for t in grown]
-    base = _mean_path(min(sample, max(2, df.limit(sample).count())))
+    values = F.array(*[F.coalesce(number(df, c), F.lit(0.0)) for c in columns])
+    return flag_by_share(df.withColumn("score", isolation_scores(forest, forest_base(df, sample))(values)), "score", contamination)
+
+
+def grow_forest(rows: DataFrame, trees: int, sample: int) -> DataFrame:
+    """A row of node lists per tree, from the arrays in ``values``; rows are drawn one by one, copies included."""
+    keyed = rows.withColumn("__key", F.xxhash64("values", F.monotonically_increasing_id()))
+    share = min(1.0, 2.0 * sample / max(1, rows.count()))
+    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("__key", t), F.lit(2**31)) < int(share * 2**31))
+    drawn = keyed.select("__key", "values", F.explode(picks).alias("tree"))
+    samples = first_per_group(drawn, ["tree"], [F.xxhash64("__key", "tree")], sample).select("tree", "values")
+    return samples.groupBy("tree").applyInPandas(_grow, NODES)
+
+
+def forest_base(rows: DataFrame, sample: int) -> float:
+    """Path length that a score of one half stands for."""
+    return _mean_path(min(sample, max(2, rows.limit(sample).count())))
+
+
+def isolation_scores(forest: list[tuple[np.ndarray, ...]], base: float):
+    """A column function: isolation score (near 1: isolated) of an array of numbers."""
 
     @F.pandas_udf("double")
     def isolate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,8 +123,7 @@ def isolation_forest(
                 total += depth[at]
             yield pd.Series(np.power(2.0, -total / (len(forest) * base)) if len(x) else np.array([]))
 
-    values = F.array(*[F.coalesce(number(df, c), F.lit(0.0)) for c in columns])
-    return flag_by_share(df.withColumn("score", isolate(values)), "score", contamination)
+    return isolate
 
 
 def flag_by_share(scored: DataFrame, score: str, contamination: float) -> DataFrame:

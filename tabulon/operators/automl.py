@@ -50,13 +50,13 @@ def require_rows(df: DataFrame, least: int = MIN_ROWS) -> None:
 
 
 def usable_features(df: DataFrame, features, target: str | None, supervised: bool = True) -> list[str]:
-    """Features that exist; unsupervised models fall back to the first ten columns."""
+    """Features that exist; unsupervised models fall back to all columns."""
     found = [c for c in features or () if c in df.columns and c != target]
     if found:
         return found
     if supervised:
         raise DataError("none of the features exists")
-    return [c for c in df.columns if c != target][:10]
+    return [c for c in df.columns if c != target]
 
 
 def pick_target(df: DataFrame, types: dict[str, dict] | None = None) -> str:

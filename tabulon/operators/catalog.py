@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import col, half_even
+from ..functions.columns import col, half_even, quote, text_literal
+from ..session import stored
+from .frequencies import column_facts
 from .profile import profile
 from .types import infer_types
 
 # Endings that mark a key column.
 KEY_ENDINGS = ("_id", "id", "_code", "_key")
-ALL_TABLES = 30
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -22,28 +24,47 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def explore(tables: Mapping[str, DataFrame], keys: Mapping[str, str] | None = None, exact: bool = True) -> DataFrame:
-    """One row per column: type, key flag, rows, null share, distinct values; one pass per table."""
+    """One row per column: type, key flag, rows, null share, distinct values.
+
+    One scan per table, a second only for columns of very many values; ``exact=False`` takes a distinct-count sketch.
+    """
     parts = []
     for name, df in tables.items():
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        for i, c in enumerate(df.columns):
-            aggs.append(F.count_if(col(c).isNull()).alias(f"n{i}"))
-            distinct = F.count_distinct(col(c)) if exact else F.approx_count_distinct(col(c))
-            aggs.append(distinct.alias(f"d{i}"))
-        rows = [
-            F.struct(
-                F.lit(name).alias("table_name"), F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable"),
-                F.lit((keys or {}).get(name) == f.name).alias("is_key"), F.col("rows"),
-                half_even(100.0 * F.col(f"n{i}") / F.greatest("rows", F.lit(1)), 2).alias("null_pct"),
-                F.col(f"d{i}").alias("distinct_values"),
-            )
-            for i, f in enumerate(df.schema.fields)
-        ]
-        parts.append(df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+        described = df.sparkSession.createDataFrame(
+            [(name, i, f.name, f.dataType.simpleString(), f.nullable, (keys or {}).get(name) == f.name) for i, f in enumerate(df.schema.fields)],
+            "table_name string, ordinal int, column string, type string, nullable boolean, is_key boolean")
+        if exact:
+            facts = column_facts(df, df.columns)
+        else:
+            aggs = [F.count(F.lit(1)).alias("rows")]
+            for i, c in enumerate(df.columns):
+                aggs += [F.count_if(col(c).isNull()).alias(f"n{i}"), F.approx_count_distinct(col(c)).alias(f"d{i}")]
+            listed = [F.struct(F.lit(c).alias("column"), "rows", F.col(f"n{i}").alias("nulls"), F.col(f"d{i}").alias("distinct_values")) for i, c in enumerate(df.columns)]
+            facts = df.agg(*aggs).select(F.explode(F.array(*listed)).alias("r")).select("r.*")
+        parts.append(described.join(facts, "column").select(
+            "table_name", "ordinal", "column", "type", "nullable", "is_key", "rows",
+            half_even(100.0 * F.col("nulls") / F.greatest("rows", F.lit(1)), 2).alias("null_pct"), "distinct_values"))
+    return _union(parts)
+
+
+def sample_rows(tables: Mapping[str, DataFrame], n: int = 5) -> DataFrame:
+    """``table_name, position, row``: the first rows of each table, by all its columns, as JSON (nulls kept)."""
+    parts = []
+    for name, df in tables.items():
+        whole = F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+        first = df.orderBy(*[col(c) for c in df.columns]).limit(n)
+        place = F.row_number().over(Window.orderBy(*[col(c) for c in df.columns]))  # n rows
+        parts.append(first.select(F.lit(name).alias("table_name"), place.alias("position"), whole.alias("row")))
     return _union(parts)
 
 
+def column_defaults(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``table_name, column, default``: the columns that a table's schema gives a default, as SQL text."""
+    spark = next(iter(tables.values())).sparkSession
+    found = [(t, f.name, f.metadata.get("CURRENT_DEFAULT", f.metadata.get("EXISTS_DEFAULT"))) for t, df in tables.items() for f in df.schema.fields]
+    return spark.createDataFrame([r for r in found if r[2] is not None], "table_name string, column string, default string")
+
+
 def preview(df: DataFrame, limit: int = 100, order: Iterable[str] = ()) -> DataFrame:
     """The first rows, by ``order`` if given (rows have no order of their own)."""
     keys = [col(c) for c in order]
@@ -112,25 +133,86 @@ def join_key_candidates(tables: Mapping[str, DataFrame], overlap: bool = False)
     found = found.where((F.col("tables") > 1) | named if many else named)
     if not overlap:
         return found
-    shared = []
-    for c in sorted({c for _, c in listed}):
-        owners = [t for t, d in tables.items() if c in d.columns]
-        if len(owners) > 1:
-            sets = [tables[t].select(col(c).cast("string").alias("v")).where(col(c).isNotNull()) for t in owners]
-            common = reduce(lambda a, b: a.intersect(b), sets)
-            shared.append(common.agg(F.count(F.lit(1)).alias("shared_values")).select(F.lit(c).alias("column"), "shared_values"))
-    return found.join(_union(shared), "column", "left") if shared else found.withColumn("shared_values", F.lit(None).cast("long"))
+    owners: dict[str, list[str]] = {}
+    for t, c in listed:
+        owners.setdefault(c, []).append(t)
+    wanted = {t: [c for c in df.columns if len(owners[c]) > 1] for t, df in tables.items()}
+    if not any(wanted.values()):
+        return found.withColumn("shared_values", F.lit(None).cast("long"))
+    sizes = spark.createDataFrame([(c, len(o)) for c, o in owners.items() if len(o) > 1], "column string, owners long")
+    everywhere = _digests(tables, wanted).groupBy("column", "a", "b").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sizes), "column").where("n = owners")
+    counted = everywhere.groupBy("column").agg(F.count(F.lit(1)).alias("shared"))
+    counted = sizes.join(counted, "column", "left").select("column", F.coalesce("shared", F.lit(0)).alias("shared_values"))
+    return found.join(counted, "column", "left")
+
+
+def _digests(tables: Mapping[str, DataFrame], wanted: Mapping[str, Iterable[str]]) -> DataFrame:
+    """``table_name, column, a, b``: distinct 128-bit digests of the texts of some columns; one scan per table, no text is shuffled."""
+    parts = []
+    for name, columns in wanted.items():
+        if columns:
+            pairs = ", ".join(f"{text_literal(c)}, cast({quote(c)} as string)" for c in columns)
+            long = tables[name].selectExpr(f"stack({len(columns)}, {pairs}) as (column, value)").where("value is not null")
+            parts.append(long.select(F.lit(name).alias("table_name"), "column", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b")).distinct())
+    return _union(parts)
 
 
 def key_overlap(tables: Mapping[str, DataFrame], pairs: Iterable[tuple[str, str, str, str]]) -> DataFrame:
-    """Distinct values two columns share, to rank join keys of different names."""
-    parts = []
-    for a, ca, b, cb in pairs:
-        left = tables[a].select(col(ca).cast("string").alias("v")).distinct()
-        right = tables[b].select(col(cb).cast("string").alias("v")).distinct()
-        both = left.join(right, "v", "left_semi").agg(F.count(F.lit(1)).alias("shared_values"))
-        parts.append(both.select(F.lit(f"{a}.{ca}").alias("left_key"), F.lit(f"{b}.{cb}").alias("right_key"), "shared_values"))
-    return _union(parts)
+    """Distinct values two columns share, to rank join keys of different names; one scan per table."""
+    listed = list(pairs)
+    spark = next(iter(tables.values())).sparkSession
+    wanted: dict[str, list[str]] = {}
+    for a, ca, b, cb in listed:
+        for t, c in ((a, ca), (b, cb)):
+            if c not in wanted.setdefault(t, []):
+                wanted[t].append(c)
+    sides = spark.createDataFrame([(i, t, c) for i, (a, ca, b, cb) in enumerate(listed) for t, c in ((a, ca), (b, cb))],
+                                  "pair int, table_name string, column string")
+    both = _digests(tables, wanted).join(F.broadcast(sides), ["table_name", "column"]).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    names = spark.createDataFrame([(i, f"{a}.{ca}", f"{b}.{cb}") for i, (a, ca, b, cb) in enumerate(listed)], "pair int, left_key string, right_key string")
+    counted = both.groupBy("pair").agg(F.count(F.lit(1)).alias("shared"))
+    return names.join(counted, "pair", "left").select("left_key", "right_key", F.coalesce("shared", F.lit(0)).alias("shared_values"))
+
+
+def rank_join_keys(tables: Mapping[str, DataFrame], least: float = 0.5, size: int = 12) -> DataFrame:
+    """``left_key, right_key, shared_values, left_values, right_values, containment``: column pairs of two tables that look like join keys.
+
+    Theta sketches of all columns (``2 ** size`` entries each, one scan per table) are intersected pair by pair; pairs of like type whose
+    estimated share of the smaller side is ``least`` or more are then counted exactly on digests.
+    """
+    def kind(dtype: T.DataType) -> str | None:
+        return "number" if isinstance(dtype, T.IntegralType) else "text" if isinstance(dtype, T.StringType) else None
+
+    sketched = []
+    for name, df in tables.items():
+        fields = [f for f in df.schema.fields if kind(f.dataType)]
+        if fields:
+            row = df.agg(*[F.theta_sketch_agg(col(f.name).cast("string"), size).alias(f"s{i}") for i, f in enumerate(fields)])
+            entries = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(f.name).alias("column"), F.lit(kind(f.dataType)).alias("kind"),
+                                         F.col(f"s{i}").alias("sketch")) for i, f in enumerate(fields)])
+            sketched.append(row.select(F.explode(entries).alias("e")).select("e.*"))
+    if not sketched:
+        raise ValueError("no column of numbers or texts")
+    # a row per column, so the pairs are as few as the square of the schema
+    one = stored(_union(sketched).withColumn("values", F.theta_sketch_estimate("sketch")))
+    two = one.toDF("table2", "column2", "kind2", "sketch2", "values2")
+    met = one.join(two, (F.col("kind") == F.col("kind2")) & (F.col("table_name") < F.col("table2"))).where("values > 0 and values2 > 0")
+    share = F.theta_sketch_estimate(F.theta_intersection("sketch", "sketch2")) / F.least("values", "values2")
+    likely = [tuple(r) for r in met.where(share >= least).select("table_name", "column", "table2", "column2").collect()]
+    names = "left_key string, right_key string"
+    if not likely:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], names + ", shared_values long, left_values long, right_values long, containment double")
+    exact = key_overlap(tables, likely)
+    wanted: dict[str, list[str]] = {}
+    for a, ca, b, cb in likely:
+        for t, c in ((a, ca), (b, cb)):
+            if c not in wanted.setdefault(t, []):
+                wanted[t].append(c)
+    sizes = stored(_digests(tables, wanted).groupBy("table_name", "column").agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat_ws(".", "table_name", "column").alias("key"), "n"))
+    joined = exact.join(sizes.toDF("left_key", "left_values"), "left_key").join(sizes.toDF("right_key", "right_values"), "right_key")
+    return joined.select("left_key", "right_key", "shared_values", "left_values", "right_values", half_even(
+        F.col("shared_values") / F.least("left_values", "right_values"), 4).alias("containment")).where(F.col("containment") >= least)
 
 
 def workspace_schema(tables: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:

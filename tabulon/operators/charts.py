@@ -1,7 +1,8 @@
 """Chart specifications turned into DataFrames.
 
-Every chart is one aggregate, so what reaches the caller is as small as the
-chart.  Sorting before a cap has a tie-breaker and becomes a top-k, not a sort.
+Every chart is one aggregate over all rows and shows all its points.  A spec's ``limit``, or
+``screen=True`` with the row caps of a dashboard screen, keeps the first points; sorting before a
+cap has a tie-breaker and becomes a top-k, not a sort.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from ..functions.columns import col, half_even, is_number, is_text, is_time, num
 from .predicates import apply_filters
 from .quantiles import group_quantiles
 
-# Chart types and row caps of each shape.
+# Chart types, and the row caps of each shape on a dashboard screen.
 CHART_TYPES = (
     "Bar", "Horizontal Bar", "Line", "Area", "Pie", "Donut", "Scatter", "Stacked Bar", "Stacked Area",
     "Treemap", "Metric",
 )
-GROUP_CAP, COUNT_CAP, SAMPLE_CAP, FALLBACK_CAP, SCATTER_CAP = 50, 30, 50, 30, 1000
+SCREEN = {"groups": 50, "counts": 30, "rows": 50, "fallback": 30, "scatter": 1000}
 AGGREGATIONS = ("sum", "avg", "mean", "median", "min", "max", "count")
-WIDE_PIVOT = 1000  # more groups than this stay in long form
+WIDE_PIVOT = 1000  # columns that a wide pivot may have
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,8 @@ class ChartSpec:
     sql: str | None = None
     title: str = ""
     category: str = ""
-    limit: int = SCATTER_CAP
+    limit: int | None = None
+    long: bool = False  # a grouped chart as (x, group, value) rows instead of a column per group
 
 
 def normalise(spec: ChartSpec) -> ChartSpec:
@@ -82,25 +84,25 @@ def record_count(df: DataFrame) -> DataFrame:
     )
 
 
-def scatter(df: DataFrame, columns: Iterable[str | None], limit: int = SCATTER_CAP, order: Sequence[str] = ()) -> DataFrame:
-    """Rows without nulls in the given columns, the first ``limit`` by ``order`` (default: by the columns)."""
+def scatter(df: DataFrame, columns: Iterable[str | None], limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Rows without nulls in the given columns by ``order`` (default: by the columns); the first ``limit`` if given."""
     names = [c for c in dict.fromkeys(columns) if c and c in df.columns]
     keys = [c for c in order if c in df.columns] or names
     rows = df.dropna(subset=names).orderBy(*[col(c) for c in keys], *[col(c) for c in names if c not in keys])
-    return rows.limit(limit).select(*[col(c) for c in names])
+    rows = rows if limit is None else rows.limit(limit)
+    return rows.select(*[col(c) for c in names])
 
 
 def _first_keys(df: DataFrame, x: str, cap: int) -> DataFrame:
-    """The smallest ``cap`` keys: at most ``cap`` rows, so they may be broadcast."""
+    """The smallest ``cap`` keys."""
     return df.select(col(x).alias("__key")).where(col(x).isNotNull()).distinct().orderBy("__key").limit(cap)
 
 
-def grouped_long(df: DataFrame, x: str, group: str, y: str | None, aggregation: str, cap: int | None = GROUP_CAP) -> DataFrame:
-    """``x, group, value`` for the first ``cap`` values of x: long form for any number of groups."""
+def grouped_long(df: DataFrame, x: str, group: str, y: str | None, aggregation: str, cap: int | None = None) -> DataFrame:
+    """``x, group, value``, for the first ``cap`` values of x if given: long form for any number of groups."""
     rows = df.where(col(x).isNotNull() & col(group).isNotNull())
     if cap is not None:
-        keys = F.broadcast(_first_keys(rows, x, cap))
-        rows = rows.join(keys, col(x) == F.col("__key"), "left_semi")
+        rows = rows.join(_first_keys(rows, x, cap), col(x) == F.col("__key"), "left_semi")
     numeric = y is not None and y in df.columns and is_number(type_of(df, y))
     how = aggregation if aggregation in AGGREGATIONS else "sum"
     if not numeric:
@@ -113,32 +115,33 @@ def grouped_long(df: DataFrame, x: str, group: str, y: str | None, aggregation:
 
 def grouped_pivot(
     df: DataFrame, x: str, group: str, y: str | None = None, aggregation: str = "sum",
-    values: Sequence[Any] | None = None, cap: int = GROUP_CAP,
+    values: Sequence[Any] | None = None, cap: int | None = None,
 ) -> DataFrame:
     """One row per x, one column per group value, empty cells 0.
 
     Pass ``values`` to fix the columns.  Without them the distinct groups are read
-    first; if there are more than ``WIDE_PIVOT`` the long form is returned.
+    first; more than ``WIDE_PIVOT`` are refused, as ``grouped_long`` shows them in rows.
     """
     if values is None:
         found = df.select(col(group)).where(col(group).isNotNull()).distinct().orderBy(col(group))
         values = [r[0] for r in found.limit(WIDE_PIVOT + 1).collect()]
         if len(values) > WIDE_PIVOT:
-            return grouped_long(df, x, group, y, aggregation, cap)
+            raise ValueError(f"{group!r} has more than {WIDE_PIVOT} values: ask for the long form or pass the values")
     # One pass for the usual aggregates; a median is only worth computing for the keys shown.
     long = grouped_long(df, x, group, y, aggregation, cap if aggregation == "median" else None)
     wide = long.groupBy(col(x)).pivot(group, list(values)).agg(F.first("value", ignorenulls=True))
-    return wide.na.fill(0, subset=[c for c in wide.columns if c != x]).orderBy(col(x)).limit(cap)
+    filled = wide.na.fill(0, subset=[c for c in wide.columns if c != x]).orderBy(col(x))
+    return filled if cap is None else filled.limit(cap)
 
 
-def value_count(df: DataFrame, x: str, cap: int | None = GROUP_CAP) -> DataFrame:
+def value_count(df: DataFrame, x: str, cap: int | None = None) -> DataFrame:
     """``x, count``, most frequent first, ties by value."""
     counts = df.where(col(x).isNotNull()).groupBy(col(x)).agg(F.count(F.lit(1)).alias("count"))
     ranked = counts.orderBy(F.desc("count"), col(x))
     return ranked if cap is None else ranked.limit(cap)
 
 
-def grouped(df: DataFrame, x: str, y: str, aggregation: str, cap: int | None = GROUP_CAP) -> DataFrame:
+def grouped(df: DataFrame, x: str, y: str, aggregation: str, cap: int | None = None) -> DataFrame:
     """``x, y`` aggregated, largest first, ties by x."""
     rows = df.where(col(x).isNotNull())
     if aggregation == "median":
@@ -158,9 +161,13 @@ def self_scalar(df: DataFrame, x: str, aggregation: str) -> DataFrame:
     )
 
 
-def chart(df: DataFrame, spec: ChartSpec, skipped: list[str] | None = None) -> DataFrame:
-    """Data of one chart."""
+def chart(df: DataFrame, spec: ChartSpec, skipped: list[str] | None = None, screen: bool = False) -> DataFrame:
+    """Data of one chart: all points, or the first ``spec.limit``, or (``screen``) as many as a screen shows."""
     spec = normalise(spec)
+
+    def cap(shape: str) -> int | None:
+        return spec.limit if spec.limit is not None or not screen else SCREEN[shape]
+
     df = apply_filters(df, spec.filters, skipped)
     has = set(df.columns)
     x, y = (c if c in has else None for c in (spec.x, spec.y))
@@ -171,9 +178,9 @@ def chart(df: DataFrame, spec: ChartSpec, skipped: list[str] | None = None) -> D
     if kind == "metric" and (y or x):
         return metric(df, y or x, how)
     if kind == "scatter":
-        return scatter(df, [x, y, group, spec.size if spec.size in has else None], spec.limit)
+        return scatter(df, [x, y, group, spec.size if spec.size in has else None], cap("scatter"))
     if group and x:
-        return grouped_pivot(df, x, group, y, how)
+        return (grouped_long if spec.long else grouped_pivot)(df, x, group, y, how, cap=cap("groups"))
     if kind in ("metric", "kpi"):
         name = y or x or (df.columns[0] if df.columns else None)
         if name and is_number(type_of(df, name)):
@@ -182,19 +189,20 @@ def chart(df: DataFrame, spec: ChartSpec, skipped: list[str] | None = None) -> D
     if x:
         if x == y:
             if how == "count" or kind in ("pie", "donut", "bar", "horizontal bar"):
-                return value_count(df, x, GROUP_CAP)
+                return value_count(df, x, cap("groups"))
             if numeric_y:
                 return self_scalar(df, x, how)
         if y and y != x and numeric_y and how != "none":
-            return grouped(df, x, y, how)
+            return grouped(df, x, y, how, cap("groups"))
         if how == "count" or kind in ("pie", "donut"):
-            return value_count(df, x, COUNT_CAP)
-        return scatter(df, [x, y], SAMPLE_CAP)
+            return value_count(df, x, cap("counts"))
+        return scatter(df, [x, y], cap("rows"))
     first = df.columns[:2]
-    return df.select(*[col(c) for c in first]).orderBy(*[col(c) for c in first]).limit(FALLBACK_CAP)
+    rows = df.select(*[col(c) for c in first]).orderBy(*[col(c) for c in first])
+    return rows if cap("fallback") is None else rows.limit(cap("fallback"))
 
 
-def dashboard(tables: dict[str, DataFrame], active: str, specs: Sequence[ChartSpec], run_sql=None) -> dict[str, DataFrame]:
+def dashboard(tables: dict[str, DataFrame], active: str, specs: Sequence[ChartSpec], run_sql=None, screen: bool = False) -> dict[str, DataFrame]:
     """Every card of a dashboard as a DataFrame, keyed by title.
 
     A card whose columns are not in the active table uses the first table that
@@ -207,7 +215,7 @@ def dashboard(tables: dict[str, DataFrame], active: str, specs: Sequence[ChartSp
         if spec.sql and run_sql is not None:
             out[title] = run_sql(spec.sql)
             continue
-        out[title] = chart(table_with(tables, active, [spec.x, spec.y]), spec)
+        out[title] = chart(table_with(tables, active, [spec.x, spec.y]), spec, screen=screen)
     return out
 
 

@@ -35,10 +35,15 @@ def add_quantile_group(df: DataFrame, columns: Iterable[str], distinct: dict[str
     Columns with few distinct values, tables under 20 rows and columns whose
     edges collide get no group.
     """
+    return apply_groups(df, group_cuts(df, columns, distinct))
+
+
+def group_cuts(df: DataFrame, columns: Iterable[str], distinct: dict[str, int] | None = None) -> dict[str, list[float]]:
+    """Edges of the groups of the columns that get any."""
     names = list(columns)
     rows = df.count()
     if rows < MIN_ROWS or not names:
-        return df
+        return {}
     if distinct is None:
         # A sketch settles all but the close cases.
         row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)]).first()
@@ -50,16 +55,18 @@ def add_quantile_group(df: DataFrame, columns: Iterable[str], distinct: dict[str
     names = [c for c in names if distinct.get(c, 0) > MIN_DISTINCT]
     parts = 4 if rows >= MANY_ROWS else 3
     edges = column_quantiles(df, {c: number(df, c) for c in names}, [i / parts for i in range(parts + 1)])
+    return {c: list(edges[c]) for c in names if edges[c][0] is not None and len(set(edges[c])) == len(edges[c])}
+
+
+def apply_groups(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Adds ``<c>_group`` by known edges: no pass over the data."""
     out = {}
-    for c in names:
-        cut = edges[c]
-        if cut[0] is None or len(set(cut)) < len(cut):
-            continue
-        value = number(df, c)
+    for c, cut in cuts.items():
+        value, words = number(df, c), GROUPS[len(cut) - 1]
         label = F.when(value.isNull(), F.lit("Missing"))
-        for upper, word in zip(cut[1:-1], GROUPS[parts]):
+        for upper, word in zip(cut[1:-1], words):
             label = label.when(value <= upper, F.lit(word))
-        out[f"{c}_group"] = label.otherwise(F.lit(GROUPS[parts][-1]))
+        out[f"{c}_group"] = label.otherwise(F.lit(words[-1]))
     return df.withColumns(out) if out else df
 
 
@@ -69,6 +76,11 @@ def derive(df: DataFrame, types: dict[str, dict] | None = None) -> tuple[DataFra
     dates = [c for c, f in types.items() if f["data_type"] == "datetime"]
     numbers = [c for c, f in types.items() if f["data_type"] == "numerical"]
     wide = add_quantile_group(add_date_parts(df, dates), numbers)
+    return wide, derived_log(df, wide)
+
+
+def derived_log(df: DataFrame, wide: DataFrame) -> list[dict]:
+    """What was derived from what, and why."""
     log = []
     for c in wide.columns:
         if c in df.columns:
@@ -84,4 +96,4 @@ def derive(df: DataFrame, types: dict[str, dict] | None = None) -> tuple[DataFra
                 log.append(
                     {"original_column": source, "derived_column": c, "transformation": what, "reason": why}
                 )
-    return wide, log
+    return log

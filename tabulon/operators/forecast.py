@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from ..functions.columns import col, half_even
 from ..session import durable
 from .metrics import reg_metrics
-from .ordering import same
-from .series import lag_names, last_values, series_step, ts_features
+from .ordering import same, with_position
+from .series import lag_names, last_values, momentum_forecast, prepare, series_step, ts_features
 
 SEED = 42
 # Rows a technique needs.
@@ -30,6 +30,7 @@ MIN_ROWS = {
     "linear_trend": 10, "ridge_trend": 20, "random_forest_forecast": 30, "gradient_boosting_forecast": 30,
     "knn_forecast": 20, "moving_average": 5,
 }
+STEP_DOWN = ("ridge_trend", "linear_trend", "moving_average")  # what a series gets that is too short for its technique
 LINEAR = ("linear_trend", "ridge_trend", "moving_average")
 TREES = ("random_forest_forecast", "gradient_boosting_forecast")
 MIN_PREPARED = 5
@@ -45,11 +46,68 @@ def pick_forecaster(df: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def route_series(df: DataFrame, series: Sequence[str] = ()) -> DataFrame:
+    """``series, rows, technique, lag_window, status``: the forecaster that each series' rows allow.
+
+    ``fitted``: the one that ``pick_forecaster`` names; ``stepped_down``: the best of a few simpler ones, as
+    the series has fewer rows than the named one needs; ``too_few_rows``: none, so recent momentum is extrapolated.
+    """
+    picked = pick_forecaster(df, series)
+    least = F.create_map(*[F.lit(x) for pair in MIN_ROWS.items() for x in pair])
+    lower = F.lit("momentum")
+    for name in reversed(STEP_DOWN):
+        lower = F.when(F.col("rows") >= MIN_ROWS[name], name).otherwise(lower)
+    # the linear models read lags as well: with fewer than MIN_PREPARED rows behind the lags nothing is fitted
+    used = F.greatest(F.lit(1), F.least(F.col("lag_window"), F.floor(F.col("rows") / 3).cast("int")))
+    lower = F.when(F.col("rows") - used >= MIN_PREPARED, lower).otherwise("momentum")
+    fits = (F.col("rows") >= F.element_at(least, F.col("technique"))) & (F.col("rows") - used >= MIN_PREPARED)
+    routed = picked.withColumn("technique", F.when(fits, F.col("technique")).otherwise(lower)).withColumn("__fits", fits)
+    status = F.when(F.col("__fits"), "fitted").when(F.col("technique") == "momentum", "too_few_rows").otherwise("stepped_down")
+    return routed.withColumn("status", status).drop("__fits")
+
+
+def forecast_auto(
+    df: DataFrame, date: str, target: str, series: Sequence[str] = (), horizon: int = 12, aggregation: str | None = None,
+    trees: int = 100,
+) -> tuple[DataFrame, DataFrame]:
+    """``(future, routes)``: every series forecast by the technique its row count allows, none left out.
+
+    ``future`` is ``series, step, date, predicted, technique, status``; ``routes`` is what ``route_series`` says.
+    One pass per technique that occurs (seven at most), over its series only.
+    """
+    key = list(series)
+    if not key:
+        df, key = df.withColumn("__series", F.lit("all")), ["__series"]
+    ready = durable(prepare(df, date, target, key, aggregation))
+    routes = durable(route_series(ready, key))
+    kinds = sorted((r[0], r[1]) for r in routes.select("technique", "lag_window").distinct().collect())
+    parts = []
+    for technique, lag_window in kinds:
+        mine = routes.where((F.col("technique") == technique) & (F.col("lag_window") == lag_window)).select(*[col(k) for k in key])
+        rows = same(ready, mine, key)
+        if technique == "momentum":
+            ahead = momentum_forecast(rows, date, target, key, horizon)
+            last = rows.groupBy(*[col(k) for k in key]).agg(F.max(col(date)).alias("last_date"))
+            dated = same(same(ahead, last, key), series_step(rows, date, key), key)
+            when = F.timestamp_micros((F.unix_micros(F.col("last_date").cast("timestamp")) + F.col("step_seconds") * 1e6 * F.col("step")).cast("long"))
+            future = dated.withColumn("date", F.date_format(when, "yyyy-MM-dd"))
+        else:
+            future = forecast(rows, date, target, key, technique, horizon, lag_window, None, trees=trees).future
+        parts.append(future.select(*[col(k) for k in key], "step", "date", F.col("predicted").cast("double").alias("predicted")))
+    if not parts:
+        parts = [ready.limit(0).select(*[col(k) for k in key], F.lit(0).alias("step"), F.lit("").alias("date"), F.lit(0.0).alias("predicted"))]
+    future = parts[0]
+    for more in parts[1:]:
+        future = future.unionByName(more)
+    future = same(future, routes.drop("rows", "lag_window"), key)
+    return (future, routes) if series else (future.drop("__series"), routes.drop("__series"))
+
+
 class Forecast:
-    """Fitted rows, metrics and future of a set of series."""
+    """Fitted rows, metrics and future of a set of series; ``status`` has a row for every series."""
 
-    def __init__(self, fitted: DataFrame, future: DataFrame, date: str, target: str, series: Sequence[str]):
-        self.fitted, self.future = fitted, future
+    def __init__(self, fitted: DataFrame, future: DataFrame, date: str, target: str, series: Sequence[str], status: DataFrame | None = None):
+        self.fitted, self.future, self.status = fitted, future, status
         self.date, self.target, self.series = date, target, list(series)
 
     def actual_vs_predicted(self) -> DataFrame:
@@ -72,7 +130,8 @@ def forecast(
 ) -> Forecast:
     """Fit and extrapolate every series.
 
-    Series with fewer than five prepared rows are left out.  The rolling deviation of
+    Series with fewer than five prepared rows cannot be fitted: ``status`` says ``too_few_rows`` for them, and
+    ``below_minimum`` for those that are fitted with fewer rows than the technique should have.  The rolling deviation of
     the future steps is the sample one, as in training, unless ``population_std``.
     """
     key = list(series)
@@ -80,7 +139,11 @@ def forecast(
         df, key = df.withColumn("__series", F.lit("all")), ["__series"]
     # Features are used by the fit, the predictions and the tails: keep one durable copy.
     ready = durable(ts_features(df, date, target, key, lag_window, aggregation))
-    ready = ready.where(F.col("n") - F.col("lag_used") >= MIN_PREPARED)
+    enough = F.col("n") - F.col("lag_used") >= MIN_PREPARED
+    minimum = MIN_ROWS.get(technique, 0)
+    status = ready.groupBy(*[col(k) for k in key]).agg(F.first("n").alias("rows"), F.first(enough).alias("__enough")).withColumn(
+        "status", F.when(~F.col("__enough"), "too_few_rows").when(F.col("rows") < minimum, "below_minimum").otherwise("fitted")).drop("__enough")
+    ready = ready.where(enough)
     names = lag_names(lag_window)
     tails = last_values(ready, "pos", "scaled", key, lag_window)
     facts = ready.groupBy(*[col(k) for k in key]).agg(
@@ -101,8 +164,8 @@ def forecast(
     else:
         raise ValueError(f"unknown technique: {technique}")
     if not series:
-        fitted, future = fitted.drop("__series"), future.drop("__series")
-    return Forecast(fitted, future, date, target, series)
+        fitted, future, status = fitted.drop("__series"), future.drop("__series"), status.drop("__series")
+    return Forecast(fitted, future, date, target, series, status)
 
 
 def _restore(df: DataFrame, scaled: str = "p") -> DataFrame:
@@ -236,20 +299,16 @@ def _unroll(state: DataFrame, key: list[str], horizon: int, lag_window: int, pre
 
 
 def _trees(prepared, state, names, key, technique, trees, lag_window, horizon):
-    """One model over all series with the series number as a feature."""
-    label = F.concat_ws("|", *[col(k).cast("string") for k in key])
-    few = prepared.select(*[col(k) for k in key]).distinct().limit(10_001).count() <= 10_000
-    if few:
-        index = StringIndexer(inputCol="__label", outputCol="__code", handleInvalid="keep", stringOrderType="alphabetAsc").fit(
-            prepared.select(label.alias("__label")).distinct()
-        )
+    """One model over all series with the series number, its place in the order of names, as a feature.
 
-        def coded(df):
-            return index.transform(df.withColumn("__label", label)).drop("__label").withColumn("__code", F.col("__code") + 0.0)
-    else:  # no label list on the driver
+    The numbers are a table that is joined, so no list of names reaches the driver.
+    """
+    label = F.concat_ws("|", *[col(k).cast("string") for k in key])
+    names_of = prepared.select(*[col(k) for k in key]).distinct().withColumn("__label", label)
+    numbers = durable(with_position(names_of, [], ["__label"], "__code").drop("__label").withColumn("__code", F.col("__code").cast("double")))
 
-        def coded(df):
-            return df.withColumn("__code", F.pmod(F.xxhash64(label), F.lit(1 << 20)).cast("double"))
+    def coded(df):
+        return same(df, numbers, key)
 
     assembler = VectorAssembler(inputCols=[*names, "__code"], outputCol="__x")
     train = assembler.transform(coded(prepared.where(F.col("split") == "train")))

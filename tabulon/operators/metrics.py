@@ -12,8 +12,9 @@ from ..session import TASK_ROWS
 from .ordering import running_total
 from .quantiles import column_quantiles
 
-# Labels that mean "this is an anomaly".
-ANOMALY_WORDS = ("true", "yes", "1", "fraud", "anomaly", "outlier", "churn")
+# Labels that mean "this is an anomaly", in scored rows and, one more, in training rows.
+ANOMALY_WORDS = ("true", "yes", "1", "fraud", "anomaly", "outlier")
+TRAINING_WORDS = (*ANOMALY_WORDS, "churn")
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -131,12 +132,12 @@ def severity(df: DataFrame, score: str) -> DataFrame:
     return df.withColumn("severity", half_even(value, 4))
 
 
-def anomaly_report(df: DataFrame, flag: str, truth: str | None = None) -> DataFrame:
+def anomaly_report(df: DataFrame, flag: str, truth: str | None = None, words: Sequence[str] = TRAINING_WORDS) -> DataFrame:
     """One row: counts, share, and precision/recall/F1 against a truth column if given."""
     hit = F.coalesce(col(flag).cast("boolean"), F.lit(False))
     aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(hit).alias("anomalies")]
     if truth is not None:
-        real = F.coalesce(F.lower(F.trim(col(truth).cast("string"))).isin(*ANOMALY_WORDS), F.lit(False))
+        real = F.coalesce(F.lower(F.trim(col(truth).cast("string"))).isin(*words), F.lit(False))
         aggs += [
             F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"), F.count_if(~hit & real).alias("fn"),
             F.count_if(~hit & ~real).alias("tn"),

@@ -1,15 +1,18 @@
 """Exact nearest neighbours and what builds on them.
 
-Training rows are divided into cells around a bounded number of pivots.  The
-distances to the pivots give every query an upper bound for its k-th neighbour
-and a lower bound per cell, so a query visits only the cells that can matter and
-the result is exact.  Inside a cell both sides are cut into blocks; a task
-compares one block pair and returns k rows per query, never all pairs.
+Training rows are placed in cells around 3 √n pivots, a random draw of them.  A cell knows
+its radius and the gaps of its innermost rows.  The distances of a query to the pivots give an upper bound for
+its k-th neighbour (from the nearest cells) and, by the triangle inequality, a lower bound per cell, so a query
+visits only the cells that can matter and the result is exact.  With √n / 3 rows in a cell the work
+grows with n √n comparisons as long as the data have few dimensions.  Inside a cell both sides are cut into
+blocks; a task compares one block pair and returns k rows per query, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from ..session import stored
 from .ordering import first_per_group
 
 BLOCK = 8192  # rows per side of one comparison
-PIVOTS = 64
+PIVOT_NUMBERS = 4_000_000  # coordinates of all pivots at most: what the driver and every task hold of the index
 CHUNK = 20_000_000  # numbers held at once while comparing
 
 
@@ -58,70 +62,126 @@ def distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray]
         yield slice(i, i + step), np.sqrt(((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
 
 
-def _with_cells(train: DataFrame, queries: DataFrame, k: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Cell of every training row; the cells each query has to visit."""
-    found = train.select("vector").distinct().orderBy(F.xxhash64("vector")).limit(pivots).collect()
-    centres = matrix(pd.Series([r["vector"] for r in found]))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            points = matrix(batch["vector"])
-            cell = np.zeros(len(points), dtype=np.int32)
-            gap = np.zeros(len(points))
-            for part, d in distances(points, centres):
-                cell[part] = d.argmin(axis=1)
-                gap[part] = d.min(axis=1)
-            yield batch.assign(__cell=cell, __gap=gap)
-
-    schema = T.StructType([*train.schema.fields, T.StructField("__cell", T.IntegerType()), T.StructField("__gap", T.DoubleType())])
-    placed = train.mapInPandas(assign, schema)
-    # At most one row per pivot, and k distances per pivot.
-    radius = {r["__cell"]: r["r"] for r in placed.groupBy("__cell").agg(F.max("__gap").alias("r")).collect()}
-    near: dict[int, list[float]] = {}
-    for r in first_per_group(placed.select("__cell", "__gap"), ["__cell"], [F.col("__gap")], k).collect():
-        near.setdefault(r["__cell"], []).append(r["__gap"])
-    cells = sorted(radius)
-    reach = np.array([radius[c] for c in cells])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            points = matrix(batch["asked"])
-            for part, d in distances(points, centres[cells]):
-                bounds = np.concatenate([d[:, [i]] + np.array(near[c])[None, :] for i, c in enumerate(cells)], axis=1)
-                limit = np.partition(bounds, k - 1, axis=1)[:, k - 1] if bounds.shape[1] >= k else np.full(len(d), np.inf)
-                row, cell = np.nonzero(d - reach[None, :] <= (limit * (1 + 1e-9) + 1e-12)[:, None])
-                yield batch.iloc[part].iloc[row].assign(__cell=np.array(cells, dtype=np.int32)[cell])
-
-    schema = T.StructType([*queries.schema.fields, T.StructField("__cell", T.IntegerType())])
-    return placed.drop("__gap"), queries.mapInPandas(visit, schema)
+def _near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all rows of ``a`` to all of ``b`` by one matrix product, and how far each row's can be off."""
+    one, two = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    gap = np.sqrt(np.maximum(one[:, None] + two[None, :] - 2 * (a @ b.T), 0.0))
+    error = 4 * np.sqrt(a.shape[1] * np.finfo(float).eps) * (np.sqrt(one) + math.sqrt(two.max(initial=0.0)))
+    return gap, error
+
+
+@dataclass
+class MetricIndex:
+    """Training rows in cells around pivots; ``placed`` has their columns and ``__cell``.
+
+    ``centres``, ``reach`` (radius) and ``inner`` (the smallest gaps, endless where a cell has
+    fewer rows) have a row per cell.
+    """
+
+    placed: DataFrame
+    centres: np.ndarray
+    reach: np.ndarray
+    inner: np.ndarray
+
+    @classmethod
+    def build(cls, train: DataFrame, k: int, pivots: int | None = None) -> MetricIndex:
+        """Index of ``train`` (with ``vector``) for up to ``k`` neighbours per query."""
+        rows = train.count()
+        first = train.select(F.size("vector")).first()
+        if first is None:
+            return cls(train.withColumn("__cell", F.lit(0)), np.zeros((0, 0)), np.zeros(0), np.zeros((0, k)))
+        wanted = pivots or max(1, min(3 * math.isqrt(rows), PIVOT_NUMBERS // max(1, first[0])))
+        drawn = train.select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect()
+        centres = matrix(pd.Series([r["vector"] for r in drawn]))
+        origin = centres.mean(axis=0)
+        moved = centres - origin
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty:
+                    continue
+                points = matrix(batch["vector"])
+                cell = np.zeros(len(points), dtype=np.int32)
+                step = max(1, CHUNK // len(centres))
+                for i in range(0, len(points), step):
+                    cell[i:i + step] = _near(points[i:i + step] - origin, moved)[0].argmin(axis=1)
+                gap = np.sqrt(((points - centres[cell]) ** 2).sum(axis=1))
+                yield batch.assign(__cell=cell, __gap=gap)
+
+        schema = T.StructType([*train.schema.fields, T.StructField("__cell", T.IntegerType()), T.StructField("__gap", T.DoubleType())])
+        placed = stored(train.mapInPandas(assign, schema))
+        # a number and k gaps per pivot
+        reach = np.full(len(centres), -np.inf)
+        for r in placed.groupBy("__cell").agg(F.max("__gap").alias("r")).collect():
+            reach[r["__cell"]] = r["r"]
+        inner = np.full((len(centres), k), np.inf)
+        window = Window.partitionBy("__cell").orderBy("__gap")
+        closest = placed.select("__cell", "__gap", (F.row_number().over(window) - 1).alias("i")).where(F.col("i") < k)
+        for r in closest.collect():
+            inner[r["__cell"], r["i"]] = r["__gap"]
+        return cls(placed.drop("__gap"), centres, reach, inner)
+
+    def visits(self, queries: DataFrame, k: int) -> DataFrame:
+        """``queries`` (with ``asked``), once per ``__cell`` that can hold one of their k nearest rows."""
+        schema = T.StructType([*queries.schema.fields, T.StructField("__cell", T.IntegerType())])
+        used = np.flatnonzero(self.reach >= 0)
+        if not len(used):
+            return queries.limit(0).withColumn("__cell", F.lit(0))
+        origin = self.centres.mean(axis=0)
+        centres, reach, inner = self.centres[used] - origin, self.reach[used], self.inner[used, :k]
+        some = min(len(used), 8)
+
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty:
+                    continue
+                points = matrix(batch["asked"]) - origin
+                step = max(1, CHUNK // len(used))
+                for i in range(0, len(points), step):
+                    d, error = _near(points[i:i + step], centres)
+                    best = np.argpartition(d, some - 1, axis=1)[:, :some]
+                    bounds = (np.take_along_axis(d, best, axis=1)[:, :, None] + inner[best]).reshape(len(d), -1)
+                    limit = np.partition(bounds, k - 1, axis=1)[:, k - 1] if bounds.shape[1] >= k else np.full(len(d), np.inf)
+                    for j in np.flatnonzero(~np.isfinite(limit)):  # the nearest cells have fewer than k rows
+                        every = (d[j][:, None] + inner).ravel()
+                        limit[j] = np.partition(every, k - 1)[k - 1] if len(every) >= k else np.inf
+                    slack = 2 * error + 1e-9 * np.where(np.isfinite(limit), limit, 0.0)
+                    row, cell = np.nonzero(d - reach[None, :] <= (limit + slack)[:, None])
+                    yield batch.iloc[i:i + step].iloc[row].assign(__cell=used[cell].astype(np.int32))
+
+        return queries.mapInPandas(visit, schema)
+
+
+def distinct_vectors(train: DataFrame, k: int, train_id: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """Of equal vectors the ``k`` smallest ids: no other row can be among the k nearest."""
+    keys = [col(c) for c in by]
+    return first_per_group(train.select(*keys, col(train_id), "vector"), [*by, "vector"], [col(train_id)], k)
 
 
 def nearest(
     train: DataFrame, queries: DataFrame, k: int, train_id: str = "id", query_id: str = "qid", by: Sequence[str] = (),
-    exclude_self: bool = False, block: int = BLOCK, pivots: int = PIVOTS,
+    exclude_self: bool = False, block: int = BLOCK, pivots: int | None = None, index: MetricIndex | None = None,
 ) -> DataFrame:
     """``by, query_id, train_id, distance, place``: the k nearest training rows of every query.
 
     Both inputs have a ``vector`` column.  Ties go to the smaller id.  ``by`` restricts
-    neighbours to the same group; ``exclude_self`` drops the row with the query's id.
+    neighbours to the same group; ``exclude_self`` drops the row with the query's id.  ``index`` is one that
+    was built of the same rows by ``distinct_vectors``, for this ``k`` or more.
     """
     need = k + 1 if exclude_self else k
     keys = [col(c) for c in by]
-    # Of equal vectors only the `need` smallest ids can be among the nearest.
-    train = first_per_group(train.select(*keys, col(train_id), "vector"), [*by, "vector"], [col(train_id)], need)
+    if index is None:
+        train = distinct_vectors(train, need, train_id, by)
     # Fresh columns: both sides may come from one table.
     queries = queries.select(*[col(c).alias(c) for c in by], col(query_id).alias(query_id), F.col("vector").alias("asked"))
     if by:
         cell = F.to_json(F.struct(*keys))
         train, queries = train.withColumn("__cell", cell), queries.withColumn("__cell", cell)
-    elif train.limit(block + 1).count() <= block:
+    elif index is None and train.limit(block + 1).count() <= block:
         train, queries = train.withColumn("__cell", F.lit(0)), queries.withColumn("__cell", F.lit(0))
     else:
-        train, queries = _with_cells(train, queries, need, pivots)
+        index = index or MetricIndex.build(train, need, pivots)
+        train, queries = index.placed.select(col(train_id), "vector", "__cell"), index.visits(queries, need)
     id_field, query_field = train.schema[train_id], queries.schema[query_id]
     key_fields = [queries.schema[c] for c in by]
 

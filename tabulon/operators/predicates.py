@@ -66,6 +66,15 @@ def apply_filters(
     df: DataFrame, filters: Sequence[Mapping[str, Any]] | None, skipped: list[str] | None = None
 ) -> DataFrame:
     """Rows that pass every applicable filter; reasons for skipping go to ``skipped``."""
+    condition = filter_condition(df, filters, skipped)
+    return df if condition is None else df.where(condition)
+
+
+def filter_condition(
+    df: DataFrame, filters: Sequence[Mapping[str, Any]] | None, skipped: list[str] | None = None
+) -> Column | None:
+    """All applicable filters as one condition; None without any."""
+    whole: Column | None = None
     notes = skipped if skipped is not None else []
     for f in filters or ():
         name, operator, value = f.get("column"), f.get("operator", "eq"), f.get("value")
@@ -77,8 +86,8 @@ def apply_filters(
         except (ValueError, TypeError, re.error) as problem:
             notes.append(f"skipped filter on {name!r}: {problem}")
             continue
-        df = df.where(condition)
-    return df
+        whole = condition if whole is None else whole & condition
+    return whole
 
 
 def global_filters(

@@ -1,8 +1,7 @@
 """Column profiles and the data quality report.
 
-A profile is one pass of plain aggregates, one frequency table (all columns
-unpivoted, so copies of a value collapse before the shuffle), exact quantiles
-and one pass for the outliers.
+A profile is one pass of plain aggregates, one pass of summaries per task (``frequencies``), exact quantiles
+and one pass for the outliers; cells are not shuffled.
 """
 
 from __future__ import annotations
@@ -15,12 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, half_even, is_text, number, number_sql, quote, text_literal, time_sql, type_of
-from .ordering import first_per_group
+from .frequencies import column_facts
 from .quantiles import column_quantiles
 from .types import type_map
 
-SAMPLES = 5
-
 
 def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``column, value, n``: how often each value occurs, as text, nulls left out.
@@ -100,7 +97,7 @@ def profile(df: DataFrame, types: dict[str, dict] | None = None, exact: bool = T
     none_s, none_l = F.lit(None).cast("string"), F.lit(None).cast("long")
     worded = [c for c in names if types[c]["data_type"] in ("categorical", "text")]
     if exact:
-        extra = frequency_facts(value_counts(df, names))
+        extra = column_facts(df, names, [c for c in names if types[c]["data_type"] in ("categorical", "text")]).drop("rows", "nulls")
         out = base.join(extra, "column", "left").withColumn("unique_count", F.coalesce("distinct_values", F.lit(0)))
     else:
         out = base.withColumns(
@@ -122,21 +119,6 @@ def profile(df: DataFrame, types: dict[str, dict] | None = None, exact: bool = T
     )
 
 
-def frequency_facts(counts: DataFrame) -> DataFrame:
-    """Distinct count, most frequent value (ties: smallest) and smallest values per column."""
-    totals = counts.groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct_values"),
-        F.min(F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("top"),
-    )
-    few = first_per_group(counts, ["column"], [F.col("number"), F.col("value")], SAMPLES)
-    listed = F.sort_array(F.collect_list(F.struct("number", "value")))
-    samples = few.groupBy("column").agg(F.transform(listed, lambda s: s["value"]).alias("sample_values"))
-    return totals.join(samples, "column").select(
-        "column", "distinct_values", "sample_values",
-        F.col("top.value").alias("top_value"), (-F.col("top.n")).alias("top_frequency"),
-    )
-
-
 def iqr_fences(quartiles) -> tuple[float | None, float | None]:
     """Tukey fences from the quartiles."""
     if not quartiles or quartiles[0] is None:
@@ -168,14 +150,11 @@ def outlier_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: number of rows that repeat an earlier row in every column.
 
-    Only a row hash is shuffled for the whole table; rows whose hash repeats are
-    then compared in full, copies collapsing before that second shuffle.
+    Rows less distinct rows; rows are told apart by 128-bit digests, of which copies collapse before the only shuffle.
     """
-    hashed = df.withColumn("__hash", F.xxhash64(*[col(c) for c in df.columns]))
-    repeated = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__hash")
-    suspects = hashed.join(repeated, "__hash", "left_semi").drop("__hash")
-    copies = suspects.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
-    return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    cells = [col(c) for c in df.columns]
+    digests = df.select(F.xxhash64(F.lit(1), *cells).alias("a"), F.xxhash64(F.lit(2), *reversed(cells)).alias("b"))
+    return digests.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def quality_report(df: DataFrame, converted: Iterable[str] = (), described: DataFrame | None = None) -> DataFrame:
@@ -242,7 +221,7 @@ def _quality_facts(df: DataFrame) -> DataFrame:
     worded = [c for c in texts if kinds[c]["data_type"] in ("categorical", "text")]
     if not worded:
         return base.withColumn("unique_count", F.lit(0))
-    distinct = value_counts(df, worded).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    distinct = column_facts(df, worded).select("column", F.col("distinct_values").alias("unique_count"))
     return base.join(distinct, "column", "left")
 
 

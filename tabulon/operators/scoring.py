@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, half_even
-from .metrics import class_distribution, class_metrics, confidence_buckets, prediction_quantiles, reg_metrics
-from .models import CONFIDENCE, PREDICTION, Model, shape_input
+from .metrics import ANOMALY_WORDS, anomaly_report, class_distribution, class_metrics, confidence_buckets, prediction_quantiles, reg_metrics
+from .models import CONFIDENCE, FLAG, PREDICTION, Model, decoded, shape_input
+
+SEVERITY = "__ml_severity"
 
 
 def score(df: DataFrame, model: Model, mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """All rows with ``__ml_prediction`` (and ``__ml_confidence`` in percent where there are probabilities).
+    """All rows with ``__ml_prediction`` (and ``__ml_confidence`` in percent where there are probabilities,
+    ``__ml_severity`` for anomalies).
 
     ``mapping`` renames columns of the input to the model's names first.  The plan is
     row by row, so it works on a stream as well.
@@ -24,10 +27,12 @@ def score(df: DataFrame, model: Model, mapping: Mapping[str, str] | None = None)
     about = model.about
     raw = model.pipeline.transform(shape_input(df, about))
     if about.problem == "classification":
-        labels = F.array(*[F.lit(v) for v in about.labels])
-        out = {PREDICTION: F.element_at(labels, (F.col("prediction") + 1).cast("int"))}
+        raw = decoded(raw, about.labels, "prediction", "__decoded")
+        out = {PREDICTION: F.col("__decoded")}
         if "probability" in raw.columns:
             out[CONFIDENCE] = half_even(F.array_max(vector_to_array(F.col("probability"))) * 100, 1)
+    elif about.problem == "anomaly_detection":
+        out = {PREDICTION: F.when(F.col(FLAG) == 1, "Anomaly").otherwise("Normal"), SEVERITY: F.col("severity")}
     elif about.problem == "clustering":
         out = {PREDICTION: F.concat(F.lit("Cluster "), F.col("__cluster").cast("string"))}
     else:
@@ -44,6 +49,8 @@ def evaluate(scored: DataFrame, model: Model) -> DataFrame | None:
         return None
     if model.about.problem == "classification":
         return class_metrics(scored, target, PREDICTION)
+    if model.about.problem == "anomaly_detection":
+        return anomaly_report(scored.withColumn("__flag", F.col(PREDICTION) == "Anomaly"), "__flag", target, ANOMALY_WORDS)
     return reg_metrics(scored, target, PREDICTION)
 
 

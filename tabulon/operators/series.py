@@ -204,13 +204,13 @@ def last_values(df: DataFrame, order: str, value: str, series: Sequence[str], n:
     return few.groupBy(*keys).agg(F.transform(pairs, lambda p: p["v"]).alias("recent"))
 
 
-def momentum_forecast(df: DataFrame, order: str, value: str, series: Sequence[str] = (), horizon: int = 3) -> DataFrame:
-    """Recent trend plus a gentle wave, in closed form: ``series, step, predicted``.
+def momentum_forecast(df: DataFrame, order: str, value: str, series: Sequence[str] = (), horizon: int = 3, most: int | None = None) -> DataFrame:
+    """Recent trend plus a gentle wave, in closed form: ``series, step, predicted``; at most ``most`` steps if given.
 
     The wave's partial sums sin(0.8) + ... + sin(0.8 i) equal
     sin(0.4 i) sin(0.4 (i + 1)) / sin(0.4), so no step depends on the one before.
     """
-    steps = max(1, min(24, horizon))
+    steps = max(1, horizon if most is None else min(most, horizon))
     keys = [col(k) for k in series]
     ready = df.select(*keys, col(order), col(value).cast("double").alias(value)).dropna(subset=[value])
     recent = last_values(ready, order, value, series, 3)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,7 @@ from .types import type_map
 MAX_CODES = 30
 ID_SHARE = 0.7
 FEW_CLASSES = 1000
+MERGES = 16  # merged partial sums that the driver gets
 
 
 def encode_for_correlation(
@@ -77,22 +83,72 @@ def _codes(df: DataFrame, words: Sequence[str]) -> dict[str, list[str]]:
     return {c: sorted(v) for c, v in out.items()}
 
 
+def _merged(parts: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and centred product sums of several parts together."""
+    n, mean, products = 0, np.zeros(0), np.zeros((0, 0))
+    for m, other, more in parts:
+        if not m:
+            continue
+        if not n:
+            n, mean, products = m, other, more
+            continue
+        gap = other - mean
+        products = products + more + np.outer(gap, gap) * (n * m / (n + m))
+        mean = mean + gap * (m / (n + m))
+        n += m
+    return n, mean, products
+
+
+def moments(df: DataFrame, *columns: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and centred sums of products of number columns without nulls, or of one array column.
+
+    One scan: each task merges its batches (centred on their own means, so nothing cancels), a second step merges tasks; the driver
+    gets at most ``MERGES`` rows of width squared.  The plan has one operator, however many columns there are.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if pa.types.is_list(batch.schema.field(0).type):
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                else:
+                    x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                mean = x.mean(axis=0)
+                yield len(x), mean, (x - mean).T @ (x - mean)
+
+        n, mean, products = _merged(parts())
+        yield pa.RecordBatch.from_pydict({"slot": [TaskContext.get().partitionId() % MERGES], "n": [n], "mean": [mean.tolist()],
+                                          "products": [products.ravel().tolist()]}, schema=pa.schema(
+            [("slot", pa.int32()), ("n", pa.int64()), ("mean", pa.list_(pa.float64())), ("products", pa.list_(pa.float64()))]))
+
+    def read(frame: Iterable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for n, mean, products in frame:
+            yield n, np.array(mean), np.array(products).reshape(len(mean), -1)
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        n, mean, products = _merged(read(zip(frame["n"], frame["mean"], frame["products"])))
+        return pd.DataFrame({"slot": [frame["slot"].iloc[0]], "n": [n], "mean": [mean.tolist()], "products": [products.ravel().tolist()]})
+
+    schema = "slot int, n long, mean array<double>, products array<double>"
+    sums = df.select(*[col(c) for c in columns]).mapInArrow(work, schema).groupBy("slot").applyInPandas(merge, schema)
+    return _merged(read((r["n"], r["mean"], r["products"]) for r in sorted(sums.collect(), key=lambda r: r["slot"])))
+
+
 def correlation_matrix(encoded: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """``feature, other, correlation``: Pearson over all rows, one pass, upper half computed once."""
+    """``feature, other, correlation``: Pearson over all rows from one sum of products."""
     names = list(columns or encoded.columns)
-    aggs, rows = [], []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            if i < j:
-                aggs.append(f"corr({quote(a)}, {quote(b)}) as r{i}_{j}")
-            r = "1.0D" if i == j else f"r{min(i, j)}_{max(i, j)}"
-            clean = f"bround(greatest(-1.0D, least(1.0D, coalesce(nanvl({r}, 0.0D), 0.0D))), 4)"
-            rows.append(f"named_struct('feature', {text_literal(a)}, 'other', {text_literal(b)}, 'correlation', {clean})")
     if not names:
         raise ValueError("no eligible columns")
-    if not aggs:
-        aggs = ["count(1) as rows"]
-    return encoded.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
+    n, _, products = moments(encoded.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]),
+                             *[f"c{i}" for i in range(len(names))])
+    rows = []
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            spread = math.sqrt(products[i, i]) * math.sqrt(products[j, j]) if n else 0.0
+            r = 1.0 if i == j else products[min(i, j), max(i, j)] / spread if spread > 0 else 0.0
+            rows.append((a, b, round(max(-1.0, min(1.0, float(r))), 4)))
+    return encoded.sparkSession.createDataFrame(rows, "feature string, other string, correlation double")
 
 
 def strength(size: Column) -> Column:
@@ -116,14 +172,16 @@ def target_correlations(matrix: DataFrame, target: str) -> DataFrame:
     )
 
 
-def select_features(ranked: Sequence[dict[str, Any]], columns: Sequence[str], target: str | None = None) -> list[str]:
-    """Features for a model from the ranked correlations (one small row per column)."""
+def select_features(ranked: Sequence[dict[str, Any]], columns: Sequence[str], target: str | None = None, most: int | None = None) -> list[str]:
+    """Features for a model from the ranked correlations (one small row per column); the ``most`` best if given.
+
+    Features that equal the target are left out, weak ones where three others are stronger.
+    """
     fair = [r for r in ranked if r["abs_correlation"] < 0.999]
     strong = [r for r in fair if r["abs_correlation"] >= 0.05]
-    chosen = strong[:10] if len(strong) >= 3 else fair[:8]
-    if not ranked:
-        return [c for c in columns if c != target][:10]
-    return [r["feature"] for r in chosen]
+    chosen = strong if len(strong) >= 3 else fair
+    names = [r["feature"] for r in chosen] if ranked else [c for c in columns if c != target]
+    return names[:most]
 
 
 def top_features(ranked: Sequence[dict[str, Any]], n: int = 5, least: float | None = None) -> list[str]:

@@ -123,6 +123,11 @@ def fill_missing(df: DataFrame, p: dict) -> DataFrame:
     return df.withColumn(name, F.coalesce(number(df, name), F.lit(value).cast("double")))
 
 
+def removed_rows(before: DataFrame, step: Step) -> int:
+    """How many rows a step takes away (``drop_na_rows``, ``drop_duplicates``, ``filter_rows``)."""
+    return before.count() - apply_step(before, step).count()
+
+
 def drop_na_rows(df: DataFrame, p: dict) -> DataFrame:
     names = p.get("columns") or p.get("column")
     return df.dropna(how="any", subset=_listed(df, names)) if names else df.dropna(how="any")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "cleaning", "charting", "relational", "series", "statistics", "models", "neighbors")
+MODULES = ("profiling", "cleaning", "charting", "relational", "series", "statistics", "models", "neighbors", "detectors")
 
 
 def load() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.charts import ChartSpec, auto_charts, chart, dashboard, grouped_long
 from ..operators.insight import insight_lines, insight_numbers, key_metrics
+from ..operators.fusion import fused_charts, fused_dashboard
 from ..operators.profile import profile
 from .registry import query
 
@@ -48,7 +49,7 @@ def bar_revenue_by_segment(t):
         t.orders.where(F.col("o_totalprice") > 1000).groupBy("o_custkey").agg(F.sum("o_totalprice").alias("o_totalprice"))
     )
     joined = spent.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return chart(joined, spec).withColumn("o_totalprice", F.round("o_totalprice", 2))
+    return chart(joined, spec, screen=True).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 @query(
@@ -71,7 +72,7 @@ def pivot_status_priority(t):
     + " FROM part GROUP BY p_brand ORDER BY p_brand LIMIT 50",
 )
 def pivot_counts_brand(t):
-    return chart(t.part, ChartSpec("Stacked Bar", "p_brand", None, "p_type")).select("p_brand", "ECONOMY", "STANDARD")
+    return chart(t.part, ChartSpec("Stacked Bar", "p_brand", None, "p_type"), screen=True).select("p_brand", "ECONOMY", "STANDARD")
 
 
 @query(
@@ -94,12 +95,12 @@ def grouped_long_supplier(t):
 
 @query("count_by_brand", "SELECT p_brand, count(*) AS count FROM part GROUP BY p_brand ORDER BY count DESC, p_brand LIMIT 50")
 def count_by_brand(t):
-    return chart(t.part, ChartSpec("Bar", "p_brand", "p_brand", aggregation="count"))
+    return chart(t.part, ChartSpec("Bar", "p_brand", "p_brand", aggregation="count"), screen=True)
 
 
 @query("donut_by_type", "SELECT p_type, count(*) AS count FROM part GROUP BY p_type ORDER BY count DESC, p_type LIMIT 30")
 def donut_by_type(t):
-    return chart(t.part, ChartSpec("Donut", "p_type"))
+    return chart(t.part, ChartSpec("Donut", "p_type"), screen=True)
 
 
 @query("self_scalar_price", "SELECT 'p_retailprice' AS p_retailprice, round_even(avg(p_retailprice), 2)::DOUBLE AS value FROM part")
@@ -112,13 +113,13 @@ def self_scalar_price(t):
     "SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem ORDER BY l_quantity, l_extendedprice, l_returnflag LIMIT 1000",
 )
 def scatter_qty_price(t):
-    return chart(t.lineitem, ChartSpec("Scatter", "l_quantity", "l_extendedprice", "l_returnflag"))
+    return chart(t.lineitem, ChartSpec("Scatter", "l_quantity", "l_extendedprice", "l_returnflag"), screen=True)
 
 
 @query("raw_sample_orders", "SELECT o_orderpriority, o_orderdate::VARCHAR AS day FROM orders ORDER BY ALL LIMIT 50")
 def raw_sample_orders(t):
     df = t.orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
-    return chart(df, ChartSpec("Line", "o_orderpriority", "day"))
+    return chart(df, ChartSpec("Line", "o_orderpriority", "day"), screen=True)
 
 
 @query(
@@ -144,9 +145,26 @@ def bar_filtered_min(t):
                 {"column": "l_quantity", "operator": "gte", "value": 10},
             ),
         ),
+        screen=True,
     )
 
 
+@query("line_all_days", "SELECT l_shipdate, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_shipdate")
+def line_all_days(t):
+    """A trend line keeps all its days."""
+    return chart(t.lineitem, ChartSpec("Line", "l_shipdate", "l_quantity", aggregation="sum"))
+
+
+@query(
+    "pivot_long_all_keys",
+    """SELECT l_partkey, l_suppkey, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY l_partkey, l_suppkey""",
+)
+def pivot_long_all_keys(t):
+    """More groups than a wide pivot has columns, as rows."""
+    spec = ChartSpec("Stacked Bar", "l_partkey", "l_extendedprice", "l_suppkey", aggregation="sum", long=True)
+    return chart(t.lineitem, spec).withColumn("value", F.round("value", 2))
+
+
 @query(
     "key_metrics",
     " UNION ALL ".join(
@@ -266,7 +284,7 @@ def dashboard_cards(t):
         ChartSpec("Donut", "p_type", title="Parts by type"),
     ]
     out = None
-    for title, df in dashboard(tables, "orders", cards).items():
+    for title, df in dashboard(tables, "orders", cards, screen=True).items():
         label, value = df.columns
         one = df.select(
             F.lit(title).alias("card"), F.col(label).cast("string").alias("label"),
@@ -276,15 +294,62 @@ def dashboard_cards(t):
     return out
 
 
-@query("auto_charts")
+_AUTO = [
+    ("Distribution", "Frequency of o_orderstatus", "Bar", "count(DISTINCT o_orderstatus)"), ("Distribution", "Average o_orderkey", "Metric", "least(count(*), 1)"),
+    ("Distribution", "Share of o_orderpriority", "Donut", "count(DISTINCT o_orderpriority)"), ("Distribution", "Total o_totalprice", "Metric", "least(count(*), 1)"),
+    ("Comparison", "o_totalprice by o_orderstatus", "Bar", "count(DISTINCT o_orderstatus)"),
+    ("Comparison", "o_totalprice over o_orderdate", "Line", "count(DISTINCT o_orderdate)"),
+    ("Comparison", "o_orderkey against o_custkey", "Scatter", "count(o_orderkey + o_custkey)"),
+    ("Comparison", "Volume of o_orderkey by o_orderdate", "Area", "count(DISTINCT o_orderdate)"),
+    ("Multivariate", "o_orderkey by o_orderstatus and o_orderpriority", "Stacked Bar", "count(DISTINCT o_orderstatus)"),
+    ("Multivariate", "o_orderkey over o_orderdate by o_orderstatus", "Line", "count(DISTINCT o_orderdate)"),
+    ("Multivariate", "o_orderkey, o_custkey and o_totalprice", "Scatter", "count(o_orderkey + o_custkey + o_totalprice)"),
+    ("Multivariate", "Treemap of o_orderkey by o_orderpriority", "Treemap", "count(DISTINCT o_orderpriority)"),
+]
+
+
+@query(
+    "auto_charts",
+    " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS category, '{t}' AS title, '{k}' AS chart_type, {n} AS points FROM orders" for i, (c, t, k, n) in enumerate(_AUTO)),
+)
 def auto_charts_orders(t):
-    """Charts chosen from the profile, executed; one row per chart."""
-    rows = [r.asDict() for r in profile(t.orders).collect()]
+    """Charts chosen from the profile, executed with one scan for all aggregates; one row per chart with its number of points."""
+    specs = auto_charts([r.asDict() for r in profile(t.orders).orderBy("ordinal").collect()])
     out = None
-    for i, spec in enumerate(auto_charts(rows)):
-        one = chart(t.orders, spec).agg(F.count("*").alias("points")).select(
+    for i, (spec, data) in enumerate(zip(specs, fused_charts(t.orders, specs))):
+        one = data.agg(F.count("*").alias("points")).select(
             F.lit(i).alias("position"), F.lit(spec.category).alias("category"), F.lit(spec.title).alias("title"),
             F.lit(spec.chart_type).alias("chart_type"), "points",
         )
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    "dashboard_one_scan",
+    """SELECT 'Total' AS card, 'l_quantity' AS label, '' AS part, round(sum(l_quantity), 2) AS value FROM lineitem
+    UNION ALL SELECT 'Price by flag', l_returnflag, '', round(avg(l_extendedprice), 2) FROM lineitem GROUP BY 2
+    UNION ALL SELECT 'Large by flag', l_returnflag, '', round(sum(l_extendedprice), 2) FROM lineitem WHERE l_quantity >= 49 GROUP BY 2
+    UNION ALL SELECT 'Lines by day', CAST(CAST(l_shipdate AS DATE) AS VARCHAR), '', count(*)::DOUBLE FROM lineitem GROUP BY 2
+    UNION ALL SELECT 'Tax by flag and status', l_returnflag, l_linestatus, round(max(l_tax), 2) FROM lineitem GROUP BY 2, 3
+    UNION ALL SELECT 'Rows', 'Total Records', '', count(*)::DOUBLE FROM lineitem""",
+)
+def dashboard_one_scan(t):
+    """Six cards of a dashboard, filters included, from one scan of the table, in long form."""
+    cards = [
+        ChartSpec("Metric", y="l_quantity", aggregation="sum", title="Total"),
+        ChartSpec("Bar", "l_returnflag", "l_extendedprice", aggregation="avg", title="Price by flag"),
+        ChartSpec("Bar", "l_returnflag", "l_extendedprice", aggregation="sum", title="Large by flag",
+                  filters=({"column": "l_quantity", "operator": "gte", "value": 49},)),
+        ChartSpec("Line", "l_shipdate", "l_shipdate", aggregation="count", title="Lines by day"),
+        ChartSpec("Stacked Bar", "l_returnflag", "l_tax", "l_linestatus", aggregation="max", title="Tax by flag and status", long=True),
+        ChartSpec("KPI", "l_returnflag", title="Rows"),
+    ]
+    out = None
+    for title, df in fused_dashboard({"lineitem": t.lineitem}, "lineitem", cards).items():
+        label = F.col(df.columns[0])
+        label = F.date_format(label, "yyyy-MM-dd") if title == "Lines by day" else label.cast("string")
+        part = F.col(df.columns[1]) if len(df.columns) == 3 else F.lit("")
+        one = df.select(F.lit(title).alias("card"), label.alias("label"), part.alias("part"), F.round(F.col(df.columns[-1]).cast("double"), 2).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_number, format_inr, half_even, parse_num, title_key
 from ..operators.predicates import apply_filters, global_filters, grid_search, relative_period
 from ..operators.steps import Step, apply_step, formatting_report, replay
+from ..sources.workspace import Workspace
 from .registry import query
 
 ITEM = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
@@ -394,3 +395,23 @@ def date_functions(t):
         "o_orderkey", month_text(d).alias("month"), F.year(d).alias("year"), F.weekday(d).alias("weekday"),
         F.date_format(d, "EEEE").alias("day_name"), F.dayofyear(d).alias("day_of_year"),
     )
+
+
+@query(
+    "switch_rederive",
+    """WITH c AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment,
+      CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END * 2 AS twice FROM customer)
+    SELECT 'c_custkey' AS "column", count(DISTINCT c_custkey) AS unique_count, false AS computed FROM c
+    UNION ALL SELECT 'c_name', count(DISTINCT c_name), false FROM c UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey), false FROM c
+    UNION ALL SELECT 'c_acctbal', count(DISTINCT c_acctbal), true FROM c UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment), false FROM c
+    UNION ALL SELECT 'twice', count(DISTINCT twice), true FROM c""",
+)
+def switch_rederive(t):
+    """Switch away and back, then change the first of two steps: only its column and the one made from it are profiled again."""
+    ws = Workspace(t.spark, {"customer": t.customer, "nation": t.nation})
+    double = Step("add_column", {"new_column": "twice", "formula": "c_acctbal * 2"})
+    ws.edit([double])
+    ws.switch("nation")
+    ws.switch("customer")
+    graph = ws.edit([Step("add_column", {"new_column": "c_acctbal", "formula": "CASE WHEN c_acctbal < 0 THEN 0.0D ELSE c_acctbal END"}), double])
+    return graph.profile().select("column", "unique_count", F.col("column").isin(*graph.profiled).alias("computed"))

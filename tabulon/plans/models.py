@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.forecast import forecast, pick_forecaster
+from ..operators.forecast import forecast, forecast_auto, pick_forecaster
 from ..operators.models import cluster_report, feature_importances, pca_2d, train
 from ..operators.scoring import evaluate, prediction_distribution, score
 from .registry import query
@@ -117,6 +117,42 @@ def pick(t):
     return pick_forecaster(days, ["event_type"])
 
 
+_SERIES = """(SELECT user_id % 97 AS bucket, count(DISTINCT CAST(ts AS DATE)) AS n FROM events
+    WHERE day(ts) <= 2 + user_id % 97 % 29 GROUP BY 1)"""
+
+
+def _buckets(t):
+    """Daily sums of many series of very different length."""
+    rows = t.events.where("day(ts) <= 2 + user_id % 97 % 29")
+    return rows.select((F.col("user_id") % 97).alias("bucket"), F.to_date("ts").alias("day"), "value")
+
+
+@query(
+    "forecast_status",
+    f"""SELECT bucket, n AS "rows", CASE WHEN n - greatest(1, least(3, n // 3)) < 5 THEN 'too_few_rows' WHEN n < 20 THEN 'below_minimum'
+      ELSE 'fitted' END AS status FROM {_SERIES}""",
+)
+def forecast_status(t):
+    """Every series has a status, the short ones too."""
+    return forecast(_buckets(t), "day", "value", ["bucket"], "ridge_trend", 2, 3, "sum").status
+
+
+@query(
+    "forecast_auto",
+    f"""WITH p AS (SELECT *, CASE WHEN n >= 50 THEN 'gradient_boosting_forecast' WHEN n >= 20 THEN 'random_forest_forecast' ELSE 'linear_trend' END AS t,
+      n - greatest(1, least(CASE WHEN n >= 50 THEN 7 WHEN n >= 20 THEN 5 ELSE 3 END, n // 3)) >= 5 AS enough FROM {_SERIES}),
+    r AS (SELECT *, enough AND n >= CASE t WHEN 'linear_trend' THEN 10 ELSE 30 END AS fits FROM p),
+    c AS (SELECT *, CASE WHEN fits THEN t WHEN NOT enough OR n < 5 THEN 'momentum' WHEN n >= 20 THEN 'ridge_trend' WHEN n >= 10 THEN 'linear_trend'
+      ELSE 'moving_average' END AS technique FROM r)
+    SELECT bucket, technique, CASE WHEN fits THEN 'fitted' WHEN technique = 'momentum' THEN 'too_few_rows' ELSE 'stepped_down' END AS status,
+      4::BIGINT AS steps FROM c""",
+)
+def forecast_routes(t):
+    """Every series gets all its steps, from the forecaster that its rows allow."""
+    future, _ = forecast_auto(_buckets(t), "day", "value", ["bucket"], 4, "sum")
+    return future.where("predicted is not null").groupBy("bucket", "technique", "status").agg(F.count(F.lit(1)).alias("steps"))
+
+
 def _daily(t):
     return t.events.select(F.to_date("ts").alias("day"), "event_type", "value")
 

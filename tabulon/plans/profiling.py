@@ -64,6 +64,22 @@ def _profile_sql(table: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _samples_sql(table: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) AS sample_values FROM (SELECT DISTINCT {c} AS v FROM {table} "
+        f"WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)" for c, k in TYPES[table].items() if k != "d" and "price" not in c and "bal" not in c)
+
+
+@query("profile_sample_values", " UNION ALL ".join(_samples_sql(t) for t in ("lineitem", "orders", "customer")))
+def profile_sample_values(t):
+    """The smallest values of whole-number and text columns of three tables (prices are left out: their texts differ in form)."""
+    parts = []
+    for name in ("lineitem", "orders", "customer"):
+        kept = [c for c, k in TYPES[name].items() if k != "d" and "price" not in c and "bal" not in c]
+        parts.append(profile(getattr(t, name).select(*kept)).select("column", F.array_join("sample_values", "|").alias("sample_values")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("profile_lineitem", _profile_sql("lineitem"))
 def profile_lineitem(t):
     return profile(t.lineitem).drop("sample_values")
@@ -277,3 +293,20 @@ def sanitize_lineitem(t):
         .when(F.col("l_tax") == 0, F.lit(float("inf"))).otherwise(F.col("l_extendedprice"))
     )
     return sanitize_floats(t.lineitem.select("l_orderkey", "l_linenumber", price.alias("price")))
+
+
+@query(
+    "quality_warnings",
+    """WITH d AS (SELECT c_name, nullif(c_mktsegment, 'BUILDING') AS seg, CASE WHEN c_acctbal < 2000 THEN c_acctbal END AS small FROM customer
+      UNION ALL SELECT c_name, nullif(c_mktsegment, 'BUILDING'), CASE WHEN c_acctbal < 2000 THEN c_acctbal END FROM customer WHERE c_custkey % 10 = 0),
+    n AS (SELECT count(*) AS r, count(*) - count(DISTINCT (c_name, seg, small)) AS dup, count(DISTINCT c_name) AS names,
+      count(*) - count(small) AS gaps FROM d)
+    SELECT printf('%d duplicate rows (%.1f%%)', dup, 100.0 * dup / r) AS warning FROM n WHERE dup > 0
+    UNION ALL SELECT printf('Column ''small'' is %.1f%% empty', round_even(100.0 * gaps / r, 2)::DOUBLE) FROM n WHERE round_even(100.0 * gaps / r, 2) > 40
+    UNION ALL SELECT printf('Column ''c_name'' has %d distinct values', names) FROM n WHERE names > 100 AND names::DOUBLE / r > 0.8""",
+)
+def quality_warnings(t):
+    """The warnings of a report: duplicates, an emptied column, a key-like text."""
+    once = t.customer.select("c_custkey", "c_name", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"), F.when(F.col("c_acctbal") < 2000, F.col("c_acctbal")).alias("small"))
+    df = once.union(once.where("c_custkey % 10 = 0")).drop("c_custkey")
+    return quality_report(df).select(F.explode("warnings").alias("warning"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.catalog import (
-    explore, fanout, join_key_candidates, key_overlap, orphan_counts, preview, preview_columns, related_tables, relationships, workspace_schema,
+    explore, fanout, join_key_candidates, key_overlap, orphan_counts, preview, preview_columns, rank_join_keys, related_tables, relationships, sample_rows, workspace_schema,
 )
 from ..operators.charts import ChartSpec
+from ..sources.sqlguard import SCREEN_LIMIT
 from ..sources.workspace import Workspace
 from .registry import query
 
@@ -114,9 +115,27 @@ query("sql_reroute", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
 )
 
 
+@query("sql_all_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000")
+def sql_all_rows(t):
+    """A query without a limit gives all its rows."""
+    return _workspace(t, "orders").sql("SELECT o_orderkey, o_totalprice FROM data WHERE o_totalprice > 1000")
+
+
+_NESTED = """WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 1000),
+    best AS (WITH big AS (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) SELECT o_custkey, m FROM big)
+  SELECT best.o_custkey, best.m, count(*) AS n FROM best JOIN big USING (o_custkey) WHERE best.o_custkey IN (SELECT c_custkey FROM customer)
+  GROUP BY best.o_custkey, best.m"""
+
+
+@query("sql_nested_scopes", _NESTED)
+def sql_nested_scopes(t):
+    """One CTE name with two meanings, and a subquery over another table."""
+    return _workspace(t, "orders", "customer").sql(_NESTED)
+
+
 @query("sql_row_cap", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
 def sql_row_cap(t):
-    return _workspace(t, "orders").sql("SELECT o_orderkey FROM data ORDER BY o_orderkey")
+    return _workspace(t, "orders").sql("SELECT o_orderkey FROM data ORDER BY o_orderkey", SCREEN_LIMIT)
 
 
 @query(
@@ -310,6 +329,42 @@ def join_keys_overlap(t):
     return key_overlap({n: getattr(t, n) for n in names}, FOREIGN_KEYS)
 
 
+_KEYED = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+          "orders": ["o_custkey", "o_orderstatus"], "region": ["r_regionkey", "r_name"]}
+_TEXTS = ("c_mktsegment", "n_name", "o_orderstatus", "r_name")
+
+
+def _ranked_sql():
+    parts = []
+    for a, left in _KEYED.items():
+        for b, right in _KEYED.items():
+            for ca in left:
+                for cb in right:
+                    if a < b and (ca in _TEXTS) == (cb in _TEXTS):
+                        parts.append(
+                            f"SELECT '{a}.{ca}' AS left_key, '{b}.{cb}' AS right_key, (SELECT count(*) FROM (SELECT {ca} FROM {a} INTERSECT SELECT {cb} FROM {b})) AS shared_values, "
+                            f"(SELECT count(DISTINCT {ca}) FROM {a}) AS left_values, (SELECT count(DISTINCT {cb}) FROM {b}) AS right_values")
+    return f"""SELECT *, round_even(shared_values::DOUBLE / least(left_values, right_values), 4)::DOUBLE AS containment
+      FROM ({' UNION ALL '.join(parts)}) WHERE shared_values::DOUBLE / least(left_values, right_values) >= 0.7"""
+
+
+@query("join_key_ranking", _ranked_sql())
+def join_key_ranking(t):
+    """Column pairs of four tables whose values contain each other, found by sketches and counted exactly."""
+    return rank_join_keys({n: getattr(t, n).select(*c) for n, c in _KEYED.items()}, 0.7)
+
+
+@query(
+    "explorer_sample_rows",
+    """SELECT 'nation' AS table_name, place::INTEGER AS position, n_name AS name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS place FROM nation) WHERE place <= 5
+    UNION ALL SELECT 'supplier', place::INTEGER, s_name FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier) WHERE place <= 5""",
+)
+def explorer_sample_rows(t):
+    rows = sample_rows({"nation": t.nation, "supplier": t.supplier})
+    name = F.coalesce(F.get_json_object("row", "$.n_name"), F.get_json_object("row", "$.s_name"))
+    return rows.select("table_name", "position", name.alias("name"))
+
+
 @query(
     "join_key_candidates",
     """SELECT 'doc_id' AS "column", CAST(2 AS BIGINT) AS tables, 'documents,labels' AS table_names,

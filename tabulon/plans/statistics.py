@@ -64,7 +64,7 @@ def target_corr(t):
 )
 def selected_features(t):
     ranked = target_correlations(correlation_matrix(_coded(t)), "l_extendedprice")
-    chosen = select_features([r.asDict() for r in ranked.collect()], list(_ALL), "l_extendedprice")
+    chosen = select_features([r.asDict() for r in ranked.collect()], list(_ALL), "l_extendedprice", most=10)
     return ranked.where(F.col("feature").isin(*chosen)).select("feature")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,15 +39,34 @@ def build_session(app: str = "tabulon", cores: str | int = "*", partitions: int
 def scratch_folder(spark: SparkSession) -> str:
     """Folder for intermediate data: the one the session names in ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, a single machine), a folder inside the warehouse is used,
-    which driver and executors share by definition.
+    Only a session on a single machine may leave it unset: a folder inside its warehouse is used then.  On a
+    cluster such a folder would be the driver's own, so an unset folder is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return folder
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that are stored inside the block when it ends well; take a path out of the list to keep it."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+    for path in made:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back from there."""
     context = df.sparkSession.sparkContext
@@ -57,12 +78,14 @@ def durable(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the checkpoint folder and read it back: columns can be pruned again.
 
-    The files go when the session's driver ends; a driver that is killed leaves them
-    to the expiry rule of that folder.
+    The files go at the end of the innermost ``freed`` block around the call, or when the session's driver ends; a
+    driver that is killed leaves them to the expiry rule of that folder.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,8 +11,7 @@ from ..functions.columns import col, sanitize_floats, stringify
 from ..operators.ordering import first_per_group
 from .readers import safe_table_name
 
-LOGGED_ROWS = 50
-SAVED_QUERIES = 20
+LOGGED_ROWS = 50  # scored rows that a log entry shows
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -33,9 +32,9 @@ def write_workspace(tables: Mapping[str, DataFrame], path: str, partitions: Mapp
     return written
 
 
-def prediction_log_entry(scored: DataFrame, model_id: str, batch_id: int | None = None) -> DataFrame:
-    """One row on a scoring call: rows, columns, the first scored rows as JSON."""
-    first = scored.limit(LOGGED_ROWS).agg(F.collect_list(F.to_json(F.struct(*[col(c) for c in scored.columns]))).alias("sample"))
+def prediction_log_entry(scored: DataFrame, model_id: str, batch_id: int | None = None, shown: int = LOGGED_ROWS) -> DataFrame:
+    """One row on a scoring call: rows, columns, the first ``shown`` scored rows as JSON (one value holds them, so not all)."""
+    first = scored.limit(shown).agg(F.collect_list(F.to_json(F.struct(*[col(c) for c in scored.columns]))).alias("sample"))
     rows = scored.agg(F.count(F.lit(1)).alias("rows")).first()[0]
     return first.select(
         F.lit(model_id).alias("model_id"), F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("at"),
@@ -52,10 +51,11 @@ def query_history(log: DataFrame, pinned: str = "is_pinned", at: str = "ts") ->
     return log.orderBy(col(pinned).desc(), col(at).desc())
 
 
-def saved_queries(log: DataFrame, text: str = "sql", at: str = "ts", keep: int = SAVED_QUERIES) -> DataFrame:
-    """The last distinct queries, newest first."""
+def saved_queries(log: DataFrame, text: str = "sql", at: str = "ts", keep: int | None = None) -> DataFrame:
+    """The distinct queries, newest first; the last ``keep`` if given."""
     latest: Column = F.max(col(at)).alias(at)
-    return log.groupBy(col(text)).agg(latest).orderBy(col(at).desc(), col(text)).limit(keep)
+    found = log.groupBy(col(text)).agg(latest).orderBy(col(at).desc(), col(text))
+    return found if keep is None else found.limit(keep)
 
 
 def active_models(registry: DataFrame, chart: str = "chart_id", at: str = "trained_at") -> DataFrame:

@@ -7,7 +7,7 @@ or calls into the JVM gets as far as ``spark.sql`` (which runs commands at once)
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 from py4j.java_gateway import is_instance_of
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Names under which the active table is always known.
 ACTIVE_NAMES = ("dataset", "data", "df")
-DEFAULT_LIMIT = 100
+SCREEN_LIMIT = 100  # rows of a query on a screen
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
 _JVM_CALLS = {"reflect", "java_method", "try_reflect"}
@@ -76,21 +76,56 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) ->
         return Verdict(False, "this function is not allowed")
     if tables is not None:
         known = {t.lower() for t in tables} | set(ACTIVE_NAMES)
-        known |= {n.lower() for n in re.findall(r"(\w+)\s*(?:\([^()]*\)\s*)?as\s*\(\s*(?:select|with)\b", text, re.I)}
-        for parts in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
-            name = ".".join(p.strip() for p in parts.split(","))
+        for name in _tables_read(gateway, plan, frozenset()):
             if name.lower() not in known:
                 return Verdict(False, f"unknown table: {name}")
     return Verdict(True)
 
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _tables_read(gateway, plan, scope: frozenset[str]) -> Iterator[str]:
+    """Names of the tables that a parsed plan reads, without the CTE names that are in scope where they stand.
+
+    A CTE is known to the ones after it and to the body of its own WITH (a recursive one to itself as well), not
+    outside; subqueries see the scope of the place they stand in.
+    """
+    kind = plan.getClass().getSimpleName()
+    if kind == "UnresolvedWith":
+        inner = scope
+        for entry in _items(plan.cteRelations()):
+            name = entry._1().lower()
+            yield from _tables_read(gateway, entry._2(), inner | {name} if plan.allowRecursion() else inner)
+            inner |= {name}
+        yield from _tables_read(gateway, plan.child(), inner)
+        return
+    if kind == "UnresolvedRelation":
+        parts = _items(plan.multipartIdentifier())
+        if len(parts) > 1 or parts[0].lower() not in scope:
+            yield ".".join(parts)
+    for expression in _items(plan.expressions()):
+        yield from _tables_in(gateway, expression, scope)
+    for child in _items(plan.children()):
+        yield from _tables_read(gateway, child, scope)
+
+
+def _tables_in(gateway, expression, scope: frozenset[str]) -> Iterator[str]:
+    """The same for the subqueries inside an expression."""
+    if is_instance_of(gateway, expression, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+        yield from _tables_read(gateway, expression.plan(), scope)
+    for child in _items(expression.children()):
+        yield from _tables_in(gateway, child, scope)
+
+
 def safe_sql(
     spark: SparkSession,
     sql: str,
     tables: Mapping[str, DataFrame] | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Run one read-only query; a ``limit`` applies when the query has none of its own.
+    """Run one read-only query; a ``limit``, if given, applies when the query has none of its own.
 
     A column missing from the active table sends the query once to the first other
     table that has it.

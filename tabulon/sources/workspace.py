@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.charts import ChartSpec, chart, normalise, table_with
 from ..operators.derive import derive
+from ..operators.lineage import StepGraph
+from ..operators.steps import Step
 from ..operators.types import apply_types, convert_mixed_to_text, mixed_columns
 from .readers import read_table, safe_table_name
-from .sqlguard import ACTIVE_NAMES, DEFAULT_LIMIT, add_dialect, safe_sql
+from .sqlguard import ACTIVE_NAMES, add_dialect, safe_sql
 
 NAME_LENGTH = 31
 
@@ -37,6 +39,7 @@ class Workspace:
         self.spark = spark
         self.tables = dict(tables)
         self.active = active or next(iter(self.tables))
+        self.graphs: dict[str, StepGraph] = {}
         self.register()
 
     @classmethod
@@ -66,8 +69,23 @@ class Workspace:
         add_dialect(self.spark)
         return [*self.views, *ACTIVE_NAMES]
 
+    def graph(self, name: str | None = None) -> StepGraph:
+        """Steps, profile and derived columns of a table (default: the active one), kept from one switch to the next."""
+        name = name or self.active
+        if name not in self.graphs:
+            self.graphs[name] = StepGraph(self.tables[name])
+        return self.graphs[name]
+
+    def edit(self, steps: Sequence[Step]) -> StepGraph:
+        """Give the active table these steps: only columns that depend on a changed step are profiled and derived again."""
+        graph = self.graph()
+        graph.edit(steps)
+        self.tables[self.active] = graph.current
+        self.register()
+        return graph
+
     def switch(self, name: str) -> DataFrame:
-        """Make another table active."""
+        """Make another table active; its profile and derived columns are those of ``graph()``, made once per table."""
         if name not in self.tables:
             raise KeyError(f"no such table: {name}")
         if not self.tables[name].columns or self.tables[name].isEmpty():
@@ -78,6 +96,7 @@ class Workspace:
 
     def replace_active(self, df: DataFrame) -> None:
         self.tables[self.active] = df
+        self.graphs.pop(self.active, None)
         self.register()
 
     def with_derived(self) -> list[dict]:
@@ -89,12 +108,12 @@ class Workspace:
     def table_for(self, columns: Iterable[str | None]) -> DataFrame:
         return table_with(self.tables, self.active, columns)
 
-    def sql(self, query: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    def sql(self, query: str, limit: int | None = None) -> DataFrame:
         return safe_sql(self.spark, query, self.views, limit)
 
-    def chart(self, spec: ChartSpec) -> DataFrame:
+    def chart(self, spec: ChartSpec, screen: bool = False) -> DataFrame:
         spec = normalise(spec)
-        return self.chart_source(spec) if spec.sql else chart(self.table_for([spec.x, spec.y]), spec)
+        return self.chart_source(spec) if spec.sql else chart(self.table_for([spec.x, spec.y]), spec, screen=screen)
 
     def chart_source(self, spec: ChartSpec) -> DataFrame:
         """The rows behind a chart: its query, uncapped, or the table with its columns."""

@@ -1,13 +1,18 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tabulon.operators.charts import ChartSpec, auto_charts, chart, dashboard, grouped_pivot, infer_chart, normalise
+from tabulon.operators.fusion import fused_charts, fused_dashboard
 from tabulon.operators.insight import insight_numbers, key_metrics
 from tabulon.operators.profile import profile
 from tabulon.operators.catalog import fanout, join_key_candidates, related_tables, relationships
-from tabulon.sources.sqlguard import QueryRefused, check, safe_sql
+from tabulon.operators.series import momentum_forecast
+from tabulon.sources.sqlguard import SCREEN_LIMIT, QueryRefused, check, safe_sql
 from tabulon.sources.workspace import Workspace, clean_sheet_name
 
 
@@ -97,8 +102,9 @@ def test_guard(spark):
 def test_limit_and_reroute(spark):
     users = spark.createDataFrame([(i, f"u{i}") for i in range(150)], "user_id int, name string")
     ws = Workspace(spark, {"tx": spark.createDataFrame([(1, 2.0)], "user_id int, amount double"), "Users": users})
-    assert ws.sql("SELECT * FROM users").count() == 100
-    assert ws.sql("SELECT * FROM users LIMIT 120").count() == 120
+    assert ws.sql("SELECT * FROM users").count() == 150
+    assert ws.sql("SELECT * FROM users", SCREEN_LIMIT).count() == 100
+    assert ws.sql("SELECT * FROM users LIMIT 120", SCREEN_LIMIT).count() == 120
     assert ws.sql("SELECT name FROM dataset", None).count() == 150
     assert safe_sql(spark, "SELECT 1 AS one").first()["one"] == 1
 
@@ -132,3 +138,71 @@ def test_catalog(spark):
     assert (r["many_to_many_keys"], r["joined_rows"]) == (1, 6) and r["joined_rows"] == left.join(right, "k").count()
     found = {r["column"] for r in rows(join_key_candidates({"l": left, "r": right}))}
     assert found == {"k"}
+
+
+def test_charts_show_all_points_unless_asked(spark):
+    """No shape is cut or changes its form with the number of rows; limits come from the spec or the screen."""
+    df = spark.range(1200).select(F.col("id").alias("k"), (F.col("id") % 7).alias("g"), F.col("id").alias("h"), (F.col("id") * 1.0).alias("v"), F.col("id").cast("string").alias("s"))
+    for spec, shown in ((ChartSpec("Line", "k", "v", aggregation="sum"), 50), (ChartSpec("Donut", "s"), 30), (ChartSpec("Bar", "s", "s", aggregation="count"), 50),
+                        (ChartSpec("Scatter", "k", "v"), 1000), (ChartSpec("Line", "k", "s"), 50), (ChartSpec("Bar"), 30),
+                        (ChartSpec("Bar", "k", "v", "g", aggregation="sum"), 50)):
+        assert chart(df, spec).count() == 1200
+        assert chart(df, spec, screen=True).count() == shown
+        assert chart(df, replace(spec, limit=7)).count() == 7 == chart(df, replace(spec, limit=7), screen=True).count()
+    wide = ChartSpec("Stacked Bar", "g", "v", "h", aggregation="sum")
+    with pytest.raises(ValueError, match="long form"):
+        chart(df, wide)
+    assert chart(df, replace(wide, long=True)).count() == 1200
+    assert momentum_forecast(df, "k", "v", horizon=30).count() == 30 and momentum_forecast(df, "k", "v", horizon=30, most=24).count() == 24
+
+
+def test_cte_names_hold_in_their_scope_only(spark):
+    spark.range(3).createOrReplaceTempView("hidden_view")
+    spark.range(3).createOrReplaceTempView("orders_view")
+    allowed = ["orders_view"]
+    fine = (
+        "WITH a AS (SELECT id FROM orders_view), b AS (SELECT id FROM a) SELECT * FROM b",
+        "SELECT * FROM (WITH hidden_view AS (SELECT 1 AS id) SELECT * FROM hidden_view)",
+        "WITH hidden_view AS (SELECT id FROM orders_view) SELECT * FROM orders_view WHERE id IN (SELECT id FROM hidden_view)",
+        "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r",
+        "WITH x AS (WITH y AS (SELECT id FROM orders_view) SELECT * FROM y) SELECT * FROM x",
+    )
+    for sql in fine:
+        assert check(spark, sql, allowed).ok, sql
+        safe_sql(spark, sql, {"orders_view": spark.table("orders_view")}).count()
+    for sql in (
+        "WITH x AS (WITH hidden_view AS (SELECT 1 AS id) SELECT * FROM hidden_view) SELECT * FROM hidden_view",
+        "SELECT (WITH hidden_view AS (SELECT 1 AS id) SELECT max(id) FROM hidden_view) AS m, id FROM hidden_view",
+        "WITH b AS (SELECT * FROM hidden_view), hidden_view AS (SELECT 1 AS id) SELECT * FROM b",
+        "WITH hidden_view AS (SELECT * FROM hidden_view) SELECT * FROM hidden_view",
+        "SELECT * FROM orders_view WHERE id IN (SELECT id FROM hidden_view)",
+        "SELECT 'x AS (SELECT 1)' AS t, hidden_view.id FROM hidden_view",
+        "SELECT * FROM parquet.`/tmp/x`",
+    ):
+        assert not check(spark, sql, allowed).ok, sql
+
+
+def test_fused_cards_equal_single_charts(spark):
+    """Every kind of card from one scan, filters and screen caps included, like the charts one by one; an empty table too."""
+    data = [(f"k{i % 9}" if i % 11 else None, "ab"[i % 2] if i % 7 else None, float(i % 13), i % 60) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, g string, v double, n int")
+    some = ({"column": "n", "operator": "gte", "value": 30},)
+    specs = [
+        ChartSpec("Metric", y="v", aggregation="avg"), ChartSpec("Metric", y="v", aggregation="sum", filters=some), ChartSpec("KPI", "k"), ChartSpec("KPI", y="n"),
+        ChartSpec("Bar", "k", "v", aggregation="sum"), ChartSpec("Bar", "k", "v", aggregation="sum", filters=some), ChartSpec("Pie", "n"),
+        ChartSpec("Bar", "k", "k"), ChartSpec("Line", "n", "n", aggregation="max"), ChartSpec("Line", "n", "v", aggregation="mean", limit=5),
+        ChartSpec("Bar", "n", "k", aggregation="count"), ChartSpec("Stacked Bar", "k", "v", "g", aggregation="min"), ChartSpec("Stacked Bar", "n", None, "g", filters=some),
+        ChartSpec("Area", "k", "v", "g", aggregation="sum", long=True), ChartSpec("Area", "k", "v", aggregation="median"), ChartSpec("Scatter", "n", "v"),
+        ChartSpec("Line", "k", "g"), ChartSpec("Bar", "k", "v", aggregation="count"),
+    ]
+
+    def content(frame):
+        return frame.columns, sorted((tuple(r) for r in frame.collect()), key=str)
+
+    for screen in (False, True):
+        for spec, fused in zip(specs, fused_charts(df, specs, screen)):
+            assert content(fused) == content(chart(df, spec, screen=screen)), spec
+    for spec, fused in zip(specs[:6], fused_charts(df.limit(0), specs[:6])):
+        assert content(fused) == content(chart(df.limit(0), spec)), spec
+    cards = fused_dashboard({"a": df, "b": df.withColumnRenamed("k", "other")}, "a", [ChartSpec("Bar", "other", "v", aggregation="sum", title="B"), ChartSpec("Pie", "k", title="A")])
+    assert list(cards) == ["B", "A"] and cards["B"].columns == ["other", "v"]

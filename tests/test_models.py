@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.operators.automl import DataError, detect_problem, pick_target, plan, problem_alias, usable_features
 from tabulon.operators.charts import ChartSpec
 from tabulon.operators.metrics import class_metrics, confidence_buckets, reg_metrics, roc_auc
-from tabulon.operators.models import Model, cluster_report, feature_importances, pca_2d, silhouette, train
+from tabulon.operators.models import Model, cluster_report, feature_importances, pca_2d, run_plan, silhouette, train
 from tabulon.operators.scoring import evaluate, prediction_distribution, score
 from tabulon.operators.stats import correlation_matrix, encode_for_correlation, features_from_charts, select_features, split, target_correlations, top_features
 from tabulon.streaming.scoring import read_scored, score_stream
@@ -100,6 +100,51 @@ def test_classifier_score_save_load(spark, tmp_path):
     assert best[0]["feature"] in ("tenure", "contract_Monthly", "contract_Yearly")
 
 
+def test_any_number_of_categories_and_classes(spark, tmp_path):
+    """5,000 categories and 2,000 classes: coded by tables, stored with the model, unseen values allowed."""
+    n = 6000
+    df = spark.range(n).select("id", F.concat(F.lit("k"), F.col("id") % 5000).alias("word"), (F.col("id") % 2000).cast("double").alias("x"),
+                               F.concat(F.lit("c"), F.col("id") % 2000).alias("y"))
+    model, scored = train(df, ["x", "word"], "y", "classification", "knn", {"n_neighbors": 1}, key="id")
+    assert len(model.about.labels) == 2000 and model.about.metrics["samples"] == scored.count() > 1000
+    assert model.report.count() >= 2000 and model.confusion.agg(F.sum("n")).first()[0] == scored.count()
+    model.save(spark, f"{tmp_path}/m")
+    again = Model.load(spark, f"{tmp_path}/m")
+    got = {r["id"]: r["__ml_prediction"] for r in rows(score(df.where("id < 50"), again))}
+    assert set(got.values()) <= set(model.about.labels) and len(got) == 50
+    assert score(spark.createDataFrame([(1, "never met", 5.0), (2, None, 6.0)], "id long, word string, x double"), again).count() == 2
+    tree, shown = train(df.withColumn("v", F.col("id") % 5000 * 1.0), ["word"], "v", "regression", "ridge", {"alpha": 0.001}, key="id")
+    assert tree.about.metrics["samples"] > 1000
+    best = rows(feature_importances(tree, shown, 5))
+    assert len(best) == 5 and all(r["feature"].startswith("word_k") for r in best)
+
+
+def test_training_learns_from_training_rows_only(spark):
+    """Fill values come from training rows; a binary classifier reports its ROC area, report and confusion matrix."""
+    df = telemetry(spark)
+    marked = split(df.withColumn("__l", (F.col("churn") == "Yes").cast("double")), "code", strata="__l")
+    odd = df.join(marked.select("code", "is_test"), "code").withColumn("contract", F.when(F.col("is_test"), "TestOnly").otherwise(F.col("contract"))).drop("is_test")
+    model, scored = train(odd, ["tenure", "contract"], "churn", "classification", "logistic_regression", {"max_iter": 50}, key="code")
+    assert {r["contract"] for r in rows(scored.select("contract").distinct())} == {"TestOnly"}
+    assert model.about.fills["contract"] in ("Monthly", "Yearly")
+    assert 0.9 < model.about.metrics["roc_auc"] <= 1.0
+    report = {r["label"]: r["support"] for r in rows(model.report)}
+    assert sum(report.values()) == scored.count() == sum(r["n"] for r in rows(model.confusion))
+
+
+def test_plans_run(spark):
+    from datetime import date, timedelta
+
+    days = spark.createDataFrame([(date(2024, 1, 1) + timedelta(days=i), 10.0 + i) for i in range(40)], "day date, amount double")
+    found = run_plan(days, plan(days, "amount", problem="forecasting", algorithm="linear_trend"))
+    assert found.future.count() == 12
+    df = telemetry(spark)
+    model = run_plan(df, plan(df, "churn", ["tenure", "contract"], "classification", "decision_tree", {"max_depth": 3}), key="code")
+    assert model.about.metrics["accuracy"] > 0.6
+    odd = run_plan(df, plan(df, problem="outliers", features=["age", "income"]))
+    assert odd.about.problem == "anomaly_detection" and odd.about.metrics["rows"] == 200
+
+
 @pytest.mark.parametrize("name", ["random_forest", "decision_tree", "naive_bayes", "mlp", "gradient_boosting", "nonsense"])
 def test_more_classifiers(spark, name):
     model, _ = train(telemetry(spark), ["tenure", "contract"], "churn", "classification", name,

@@ -174,3 +174,29 @@ def test_technique_by_rows(spark):
     df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 20 + [("c",)] * 19, "k string")
     got = {r["k"]: (r["technique"], r["lag_window"]) for r in rows(pick_forecaster(df, ["k"]))}
     assert got == {"a": ("gradient_boosting_forecast", 7), "b": ("random_forest_forecast", 5), "c": ("linear_trend", 3)}
+
+
+def test_every_series_is_routed_and_forecast(spark):
+    """Series of 1 to 60 days: each has a route, a status and all its future steps."""
+    from datetime import date, timedelta
+
+    from tabulon.operators.forecast import forecast_auto, route_series
+
+    sizes = {"a": 1, "b": 3, "c": 6, "d": 8, "e": 12, "f": 25, "g": 35, "h": 60}
+    data = [(k, date(2024, 1, 1) + timedelta(days=i), float(10 + i + i % 3)) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(data, "k string, d date, v double")
+    routes = {r["k"]: (r["technique"], r["status"]) for r in rows(route_series(df, ["k"]))}
+    assert routes == {
+        "a": ("momentum", "too_few_rows"), "b": ("momentum", "too_few_rows"), "c": ("momentum", "too_few_rows"), "d": ("moving_average", "stepped_down"),
+        "e": ("linear_trend", "fitted"), "f": ("ridge_trend", "stepped_down"), "g": ("random_forest_forecast", "fitted"),
+        "h": ("gradient_boosting_forecast", "fitted")}
+    future, told = forecast_auto(df, "d", "v", ["k"], 3, trees=3)
+    got = rows(future)
+    assert {(r["k"], r["step"]) for r in got} == {(k, s) for k in sizes for s in (1, 2, 3)} and all(r["predicted"] is not None for r in got)
+    assert {r["k"]: r["date"] for r in got if r["step"] == 1}["e"] == "2024-01-13"
+    assert told.count() == 8
+    plain, _ = forecast_auto(df.where("k = 'e'").drop("k"), "d", "v", horizon=2)
+    assert plain.columns[0] == "step" and plain.count() == 2
+    status = {r["k"]: r["status"] for r in rows(forecast(df, "d", "v", ["k"], "ridge_trend", 2, 3).status)}
+    assert status["a"] == "too_few_rows" and status["e"] == "below_minimum" and status["h"] == "fitted" and len(status) == 8
+    assert forecast_auto(df.limit(0), "d", "v", ["k"])[0].count() == 0

@@ -5,7 +5,7 @@ from datetime import datetime
 from conftest import rows
 
 from tabulon.functions.columns import format_inr, sanitize_floats
-from tabulon.sources.readers import detect_format, read_csv, read_table, records_to_df, sniff_csv
+from tabulon.sources.readers import detect_format, read_csv, read_table, records_to_df, refused_lines, sniff_csv
 from tabulon.sources.sinks import active_models, append_log, deploy, prediction_log_entry, query_history, registry_view, saved_queries, write_csv, write_workspace
 from tabulon.sources.workspace import Workspace
 
@@ -29,6 +29,25 @@ def test_long_lines_dropped_short_padded_tokens_null(spark, tmp_path):
     assert got == {"1": "x", "3": None, "4": None, "5": "p,q", "6": 'say "hi"'}
 
 
+def test_late_bytes_dialects_and_refused_lines(spark, tmp_path):
+    """A latin-1 byte far down, UTF-8 beside it, two delimiters in one folder, empty surplus fields, and the count of lines left out."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    lines = [f"{i},name {i}\n".encode() for i in range(2000)] + [b"2000,Zo\xeb\n", "2001,Ægir 東京\n".encode(), b"3,4,\n", b'2002,"x,y"\n', b'2003,"x,y",z\n', b"2004\n"]
+    (folder / "a.csv").write_bytes(b"\xef\xbb\xbfid,name\n" + b"".join(lines))
+    write(folder / "b.csv", "name;id;more\nBea;9000;m\nCarl;9001;n;o;p\n")
+    (folder / "c.csv").write_bytes(b"")
+    df = read_csv(spark, str(folder))
+    assert df.columns == ["id", "name", "more"]
+    got = {r["id"]: r["name"] for r in rows(df)}
+    assert len(got) == df.count() == 2005
+    assert [got[k] for k in ("2000", "2001", "2002", "2004", "9000")] == ["Zoë", "Ægir 東京", "x,y", None, "Bea"]
+    refused = {r["file"].rsplit("/", 1)[-1]: r["lines"] for r in rows(refused_lines(spark, str(folder)))}
+    assert refused == {"a.csv": 2, "b.csv": 1}
+    assert {r["name"] for r in rows(df.select("name").where("id = '2001'"))} == {"Ægir 東京"}
+    assert rows(read_csv(spark, write(tmp_path / "w.csv", "a,b\n€,1\n", "cp1252"), encoding="windows-1252"))[0]["a"] == "€"
+
+
 def test_latin_text(spark, tmp_path):
     path = write(tmp_path / "t.csv", "id,name\n1,Zoë\n2,Ægir\n", "latin-1")
     assert sniff_csv((tmp_path / "t.csv").read_bytes())[0] == "ISO-8859-1"
@@ -78,7 +97,8 @@ def test_logs(spark, tmp_path):
     data = [(f"q{i % 25}", datetime(2024, 1, 1, i % 24, i % 60), i == 3) for i in range(50)]
     history = spark.createDataFrame(data, "sql string, ts timestamp, is_pinned boolean")
     assert query_history(history).first()["is_pinned"]
-    kept = rows(saved_queries(history))
+    assert saved_queries(history).count() == 25
+    kept = rows(saved_queries(history, keep=20))
     assert len(kept) == 20 and len({r["sql"] for r in kept}) == 20
 
 

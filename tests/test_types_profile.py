@@ -106,3 +106,25 @@ def test_derived_columns(spark):
     assert (first["order_date_year"], first["order_date_month"], first["order_date_day_of_week"]) == ("2023", "2023-01", "Sunday")
     sizes = {r["revenue_group"]: r["count"] for r in wide.groupBy("revenue_group").count().collect()}
     assert sizes == {"Low": 15, "Medium-Low": 15, "Medium-High": 15, "High": 15}
+
+
+def test_frequencies_of_narrow_and_wide_columns(spark):
+    """Sketched columns give exact results: a value that stands out, unique values, ties, NaN, nulls, an empty column and table."""
+    import math
+
+    from tabulon.operators.frequencies import column_facts
+
+    n = 900
+    data = [("hot" if i % 3 == 0 else f"w{i}", f"id{i:04d}", f"p{i // 2:03d}", None, i % 400, math.nan if i % 5 == 0 else i * 0.5, "ab"[i % 2]) for i in range(n)]
+    df = spark.createDataFrame(data, "a string, b string, c string, d string, e int, f double, g string").repartition(5)
+    got = {r["column"]: r for r in rows(column_facts(df, df.columns, ["a", "b", "c", "d", "g"], size=20))}
+    assert (got["a"]["top_value"], got["a"]["top_frequency"], got["a"]["distinct_values"]) == ("hot", 300, 601)
+    assert (got["b"]["top_value"], got["b"]["top_frequency"], got["b"]["distinct_values"]) == ("id0000", 1, 900)
+    assert (got["c"]["top_value"], got["c"]["top_frequency"], got["c"]["distinct_values"]) == ("p000", 2, 450)
+    assert (got["d"]["distinct_values"], got["d"]["nulls"], got["d"]["rows"], got["d"]["top_value"]) == (0, n, n, None)
+    assert (got["e"]["distinct_values"], got["e"]["sample_values"], got["e"]["top_value"]) == (400, ["0", "1", "2", "3", "4"], None)
+    assert got["f"]["distinct_values"] == 721 and got["f"]["sample_values"][0] == "0.5"
+    assert (got["g"]["top_value"], got["g"]["top_frequency"], got["g"]["sample_values"]) == ("a", 450, ["a", "b"])
+    plain = {r["column"]: r for r in rows(column_facts(df, df.columns, ["a", "b", "c", "d", "g"]))}
+    assert plain == got
+    assert {r["distinct_values"] for r in rows(column_facts(df.limit(0), df.columns))} == {0}
