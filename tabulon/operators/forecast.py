@@ -61,7 +61,7 @@ def route_series(df: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     used = F.greatest(F.lit(1), F.least(F.col("lag_window"), F.floor(F.col("rows") / 3).cast("int")))
     lower = F.when(F.col("rows") - used >= MIN_PREPARED, lower).otherwise("momentum")
     fits = (F.col("rows") >= F.element_at(least, F.col("technique"))) & (F.col("rows") - used >= MIN_PREPARED)
-    routed = picked.withColumn("technique", F.when(fits, F.col("technique")).otherwise(lower)).withColumn("__fits", fits)
+    routed = picked.withColumn("__fits", fits).withColumn("technique", F.when(F.col("__fits"), F.col("technique")).otherwise(lower))
     status = F.when(F.col("__fits"), "fitted").when(F.col("technique") == "momentum", "too_few_rows").otherwise("stepped_down")
     return routed.withColumn("status", status).drop("__fits")
 

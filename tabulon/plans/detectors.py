@@ -91,7 +91,7 @@ def knn_scaled(t):
     """WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS id, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS a,
       (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS b FROM part),
     near AS MATERIALIZED (SELECT x.id AS i, y.id AS j, sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2)) AS d, y.a AS ya, y.b AS yb
-      FROM p x JOIN p y ON abs(x.a - y.a) <= 0.08 AND abs(x.b - y.b) <= 0.08 WHERE sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2)) <= 0.08),
+      FROM p x JOIN p y ON abs(x.a - y.a) <= 0.05 AND abs(x.b - y.b) <= 0.05 WHERE sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2)) <= 0.05),
     core AS MATERIALIZED (SELECT i FROM near GROUP BY i HAVING count(*) >= 4),
     reach AS (SELECT i AS a, i AS b FROM core UNION SELECT reach.a, near.j FROM reach JOIN near ON reach.b = near.i
       WHERE near.j IN (SELECT i FROM core)),
@@ -104,7 +104,7 @@ def knn_scaled(t):
 )
 def dbscan_scaled(t):
     """Sizes of the density clusters of scaled columns, and of the noise."""
-    _, scored = train(t.part, ["p_retailprice", "p_size"], None, "clustering", "dbscan", {"eps": 0.08, "min_samples": 4})
+    _, scored = train(t.part, ["p_retailprice", "p_size"], None, "clustering", "dbscan", {"eps": 0.05, "min_samples": 4})
     sizes = scored.groupBy("__cluster").agg(F.count(F.lit(1)).alias("size"))
     kind = F.when(F.col("__cluster") < 0, "Noise").otherwise("Cluster")
     return sizes.groupBy(kind.alias("kind"), "size").agg(F.count(F.lit(1)).alias("clusters"))
