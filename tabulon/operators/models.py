@@ -177,11 +177,11 @@ def regressor(name: str, p: dict, rows: int, spread: float) -> tuple[Estimator,
     trees = int(p.get("n_estimators", 100))
     warning = None
     if name == "linear_regression":
-        est = LinearRegression(solver="normal", **cols)
+        est = LinearRegression(solver="auto", **cols)  # normal equations up to 4,096 features, else iterations
     elif name == "ridge":
         alpha = float(p.get("alpha", 1.0))
         est = LinearRegression(
-            regParam=alpha * spread / max(1, rows), elasticNetParam=0.0, standardization=False, solver="normal", **cols
+            regParam=alpha * spread / max(1, rows), elasticNetParam=0.0, standardization=False, solver="auto", **cols
         )
     elif name == "lasso":
         est = LinearRegression(regParam=float(p.get("alpha", 0.1)), elasticNetParam=1.0, standardization=False, maxIter=1000, **cols)
