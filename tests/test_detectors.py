@@ -152,6 +152,12 @@ def test_index_keeps_the_work_below_quadratic(spark):
     assert got == plain
 
 
+def test_moments_with_parts_that_have_no_rows(spark):
+    frame = spark.range(0, 8, 1, 4).selectExpr("cast(id as double) as a", "cast(id * id as double) as b").where("a >= 6")
+    for n, mean, products in (moments(frame, "a", "b"), moments(frame.select(F.array("a", "b").alias("v")), "v")):
+        assert n == 2 and mean.tolist() == [6.5, 42.5] and products.tolist() == [[0.5, 6.5], [6.5, 84.5]]
+
+
 def test_moments_of_columns_and_arrays(spark):
     x = np.random.default_rng(4).normal(1e6, 3, (500, 4))
     frame = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double").repartition(5)
