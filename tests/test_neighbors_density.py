@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tabulon.operators import neighbors
 from tabulon.operators.anomaly import elliptic_envelope, isolation_forest
 from tabulon.operators.density import dbscan
 from tabulon.operators.metrics import top_anomalies
@@ -45,6 +46,27 @@ def test_nearest_equals_brute_force(spark, block, pivots, exclude):
     assert got == brute(x, x, 4, exclude)
 
 
+@pytest.mark.parametrize("share", [0.0, 2.0])
+@pytest.mark.parametrize("exclude", [True, False])
+def test_cells_and_large_blocks_give_the_same(spark, monkeypatch, share, exclude):
+    monkeypatch.setattr(neighbors, "FLAT_SHARE", share)
+    x = np.hstack([cloud(), cloud(4), cloud(5), cloud(6)]) + 1000.0
+    df = frame(spark, x)
+    got = {}
+    for r in nearest(df, df.select(F.col("id").alias("qid"), "vector"), 4, exclude_self=exclude, block=40, pivots=8).orderBy("qid", "place").collect():
+        got.setdefault(r["qid"], []).append((r["id"], round(r["distance"], 9)))
+    assert got == brute(x, x, 4, exclude)
+
+
+def test_many_dimensions_copy_no_query_per_cell(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(neighbors, "paired_blocks", lambda train, queries, *rest, f=neighbors.paired_blocks: (
+        met.append((queries.count(), rest[-1])), f(train, queries, *rest))[1])
+    df = frame(spark, np.random.default_rng(1).normal(0, 1, (400, 32)))
+    near = nearest(df, df.select(F.col("id").alias("qid"), "vector"), 3, block=16, pivots=16)
+    assert met == [(400, 50)] and near.count() == 1200
+
+
 def test_nearest_within_groups(spark):
     x = cloud(n=60)
     df = frame(spark, x).withColumn("g", F.col("label").cast("string"))
