@@ -82,3 +82,19 @@ def test_group_quantiles_match_numpy(spark, limit):
     for k, part in df.toPandas().groupby("k", dropna=False):
         k = None if k is None or k != k else k
         assert np.allclose(got[k], np.quantile(part["v"], [0.25, 0.5, 0.9]))
+
+
+def test_group_quantiles_of_large_groups_sort_no_rows(spark, monkeypatch):
+    from tabulon.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "with_position", lambda *a: pytest.fail("sorted"), raising=False)
+    df = spark.range(9000).selectExpr(
+        "if(id < 200, null, id % 3) as g", "cast(if(id % 7 = 0, 5, pmod(xxhash64(id), 4000)) as double) / 7 as v")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    got = group_quantiles(df, ["g"], F.col("v"), probs, "q", 1000).collect()
+    assert {r["g"]: r["q"] for r in got} == want and len(got) == 4
+    # brackets without room miss ranks and are widened
+    sizes = df.groupBy("g").agg(F.count("v").alias("__n"))
+    wider = quantiles._bracketed(df.withColumnRenamed("v", "__v"), sizes, ["g"], probs, "q", 0.0)
+    assert {r["g"]: r["q"] for r in wider.collect()} == want
