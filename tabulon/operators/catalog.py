@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -178,7 +179,8 @@ def rank_join_keys(tables: Mapping[str, DataFrame], least: float = 0.5, size: in
     """``left_key, right_key, shared_values, left_values, right_values, containment``: column pairs of two tables that look like join keys.
 
     Theta sketches of all columns (``2 ** size`` entries each, one scan per table) are intersected pair by pair; pairs of like type whose
-    estimated share of the smaller side is ``least`` or more are then counted exactly on digests.
+    estimated share of the smaller side is not below ``least`` by six standard errors are then counted exactly on digests.  The
+    sketch of a large column keeps few values of a small one, so such pairs are nearly always counted.
     """
     def kind(dtype: T.DataType) -> str | None:
         return "number" if isinstance(dtype, T.IntegralType) else "text" if isinstance(dtype, T.StringType) else None
@@ -198,7 +200,10 @@ def rank_join_keys(tables: Mapping[str, DataFrame], least: float = 0.5, size: in
     two = one.toDF("table2", "column2", "kind2", "sketch2", "values2")
     met = one.join(two, (F.col("kind") == F.col("kind2")) & (F.col("table_name") < F.col("table2"))).where("values > 0 and values2 > 0")
     share = F.theta_sketch_estimate(F.theta_intersection("sketch", "sketch2")) / F.least("values", "values2")
-    likely = [tuple(r) for r in met.where(share >= least).select("table_name", "column", "table2", "column2").collect()]
+    # values of the smaller side that the coarser sketch keeps
+    kept = F.least("values", "values2") * F.least(F.lit(1.0), 2**size / F.greatest("values", "values2"))
+    room = 6 * (F.sqrt(least * (1 - least) / kept) + least / math.sqrt(2**size))
+    likely = [tuple(r) for r in met.where(share >= least - room).select("table_name", "column", "table2", "column2").collect()]
     names = "left_key string, right_key string"
     if not likely:
         return next(iter(tables.values())).sparkSession.createDataFrame([], names + ", shared_values long, left_values long, right_values long, containment double")
@@ -211,8 +216,9 @@ def rank_join_keys(tables: Mapping[str, DataFrame], least: float = 0.5, size: in
     sizes = stored(_digests(tables, wanted).groupBy("table_name", "column").agg(F.count(F.lit(1)).alias("n")).select(
         F.concat_ws(".", "table_name", "column").alias("key"), "n"))
     joined = exact.join(sizes.toDF("left_key", "left_values"), "left_key").join(sizes.toDF("right_key", "right_values"), "right_key")
-    return joined.select("left_key", "right_key", "shared_values", "left_values", "right_values", half_even(
-        F.col("shared_values") / F.least("left_values", "right_values"), 4).alias("containment")).where(F.col("containment") >= least)
+    held = F.col("shared_values") / F.least("left_values", "right_values")
+    return joined.where(held >= least).select(
+        "left_key", "right_key", "shared_values", "left_values", "right_values", half_even(held, 4).alias("containment"))
 
 
 def workspace_schema(tables: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:
