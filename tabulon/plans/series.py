@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import day_text
 from ..operators.series import (
     connected_series, detect_time_series, fill_dates, future_labels, lag_names, momentum_forecast, prepare, series_step,
     target_summary, ts_features,
@@ -161,7 +162,7 @@ def fill_dates_orders(t):
 def fill_dates_synthetic(t):
     df = t.orders.select("o_orderkey", F.lit("soon").alias("d"))
     return fill_dates(df, "d", ["o_orderkey"], anchor=datetime(2024, 12, 31)).withColumn(
-        "d", F.date_format("d", "yyyy-MM-dd")
+        "d", day_text(F.col("d"))
     )
 
 
