@@ -67,6 +67,30 @@ def test_many_dimensions_copy_no_query_per_cell(spark, monkeypatch):
     assert met == [(400, 50)] and near.count() == 1200
 
 
+def test_copies_are_looked_up_once_and_no_side_is_broadcast(spark, monkeypatch):
+    asked, plans = [], []
+
+    def watched(train, queries, *rest, f=neighbors.paired_blocks):
+        asked.append(queries.select("qid").distinct().count())
+        found = f(train, queries, *rest)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(neighbors, "paired_blocks", watched)
+    x = np.round(np.random.default_rng(2).normal(0, 1, (60, 2)), 3)
+    df = frame(spark, np.concatenate([x] * 12))
+    few = {r["id"]: r["lof"] for r in rows(local_outlier_factor(df, 15, block=40, pivots=8))}
+    assert asked == [60] and len(few) == 720 and all(abs(few[i] - few[i % 60]) < 1e-12 for i in few)
+    joins = [line for line in plans[0].splitlines() if "HashJoin" in line or "NestedLoop" in line]
+    assert all("LeftSemi" in j or "LeftOuter" in j for j in joins) and "REPARTITION_BY_NUM" in plans[0]
+    d = np.sqrt(((np.concatenate([x] * 12)[:, None] - np.concatenate([x] * 12)[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(720), d.shape), d), axis=1)[:, :15]
+    gaps = np.take_along_axis(d, order, axis=1)
+    lrd = 1 / (np.maximum(gaps, gaps[:, -1][order]).mean(axis=1) + 1e-10)
+    assert np.allclose([few[i] for i in range(720)], lrd[order].mean(axis=1) / lrd)
+
+
 def test_nearest_within_groups(spark):
     x = cloud(n=60)
     df = frame(spark, x).withColumn("g", F.col("label").cast("string"))
