@@ -128,3 +128,16 @@ def test_frequencies_of_narrow_and_wide_columns(spark):
     plain = {r["column"]: r for r in rows(column_facts(df, df.columns, ["a", "b", "c", "d", "g"]))}
     assert plain == got
     assert {r["distinct_values"] for r in rows(column_facts(df.limit(0), df.columns))} == {0}
+
+
+def test_wide_column_without_sketch_takes_smaller_values_only():
+    import pyarrow as pa
+
+    from tabulon.operators.frequencies import Counter
+
+    for values, later, left in ((list(range(10, 40)), [50, 3, 12, 14, 99], [3, 12]), ([f"m{i:02}" for i in range(30)], ["z", "a", "m03"], ["a", "m03"]),
+                                ([float(i) for i in range(30)], [float("nan"), -1.0, 7.0], [-1.0])):
+        counter = Counter(8, False)
+        assert counter.open(pa.array(later)).to_pylist()[1:] == later[1:]
+        counter.add(values, [1] * len(values))
+        assert counter.wide and counter.open(pa.array(later)).to_pylist() == left
