@@ -212,3 +212,16 @@ def test_streamed_scores_equal_batch_scores(spark, tmp_path):
     assert got == {(r["code"], r["__ml_prediction"]) for r in rows(score(df, model))}
     log = rows(spark.read.parquet(str(tmp_path / "log")))
     assert sum(r["rows"] for r in log) == 200 and len(log) == 3
+
+
+def test_split_works_out_a_row_once(spark):
+    df = spark.range(400).selectExpr("id", "cast(id % 3 as string) as k", "null as nothing")
+    marked = split(df, "id", strata="k")
+    assert "md5" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert marked.columns == ["id", "k", "nothing", "is_test"] and marked.where("nothing is null").count() == 400
+
+
+def test_training_reads_stored_rows(spark):
+    df = spark.range(300).selectExpr("id", "cast(id as double) as a", "cast(id % 7 as double) + id as y")
+    _, scored = train(df, ["a"], "y", "regression", "linear_regression", key="id")
+    assert "md5" not in scored._jdf.queryExecution().executedPlan().toString()
