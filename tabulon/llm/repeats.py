@@ -3,12 +3,12 @@
 Contract: a byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else,
 in the same text or another.
 
-1. *Anchors.*  In each window of LENGTH - GRAM + 1 positions, the GRAM-byte string with the smallest hash is an
-   anchor.  The choice depends on the window's bytes alone, so equal strings of LENGTH bytes hold equal
-   anchors at equal places, and only texts that share an anchor need comparing.
-2. *Equal surroundings.*  All strings of LENGTH bytes around an anchor lie in its surroundings (at most
-   LENGTH - GRAM bytes before, LENGTH after).  Where two anchors have the same surroundings, all
-   those strings repeat, and a single one stands for all in what follows.
+1. *Anchors.*  Of the LENGTH - GRAM + 1 strings of GRAM bytes in a string of LENGTH bytes, the first one with the
+   smallest hash is its anchor.  The choice depends on the string's bytes alone, so equal strings of LENGTH bytes have equal
+   anchors at equal places, and only strings with equal anchors need comparing.
+2. *Equal surroundings.*  The strings of LENGTH bytes that have one anchor start at successive positions; what they
+   cover is its surroundings.  Each start has one anchor, so no string is compared twice.  Where two anchors have the same
+   surroundings, all those strings repeat, and a single one stands for all in what follows.
 3. *Suffix arrays.*  Different surroundings of equal anchors are joined to shards; each shard's suffixes
    are sorted by induction, and permuted common prefixes of LENGTH or more give the
    repeated strings.
@@ -45,11 +45,11 @@ def hashed(raw: bytes) -> Hashes:
     return Hashes(NUMBERS[np.frombuffer(raw, np.uint8)])
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors of a text, their hashes and the hashes of their surroundings."""
+def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
+    """Anchors of a text: positions, hashes, first and last start of the strings that have them, hashes of the surroundings."""
     n, width = len(raw), LENGTH - GRAM + 1
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 5
     hashes = hashed(raw)
     grams = n - GRAM + 1
     value = (hashes.sums[GRAM:] - hashes.sums[:-GRAM]) * hashes.down[:grams]
@@ -57,16 +57,22 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value *= np.uint64(0x94D049BB133111EB)
     value ^= value >> np.uint64(30)
     lowest = _slide(value, width, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))
-    # chosen where some window that holds the position has it as its lowest
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), lowest, np.zeros(width - 1, np.uint64)])
-    at = np.flatnonzero(value == _slide(padded, width, np.maximum, np.uint64(0)))
-    first, past = np.maximum(at - (LENGTH - GRAM), 0), np.minimum(at + LENGTH, n)
-    around = hashes.of(first, past) + (at - first).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-    return at, value[at], around + (past - at).astype(np.uint64)
+    # the anchor changes where a lower value comes in and where the last start was the anchor itself
+    first = np.flatnonzero(np.append(True, (lowest[1:] != lowest[:-1]) | (value[:len(lowest) - 1] == lowest[:-1])))
+    last = np.append(first[1:], len(lowest)) - 1
+    low = lowest[first]
+    came = np.append(False, low[1:] < lowest[first[1:] - 1])
+    at = np.where(came, first + width - 1, last)
+    rest = np.flatnonzero(~came & (value[last] != low))
+    for k in range(0, len(rest), 4096):
+        some = rest[k:k + 4096]
+        at[some] = first[some] + np.argmax(value[first[some][:, None] + np.arange(width)] == low[some][:, None], axis=1)
+    around = hashes.of(first, last + LENGTH) + (at - first).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    return at, low, first, last, around + (last + LENGTH - at).astype(np.uint64)
 
 
 def _slide(values: np.ndarray, width: int, lower, filler) -> np.ndarray:
-    """Lowest (or highest) value of each window, from running values inside blocks."""
+    """Lowest value of each window, from running values inside blocks."""
     n = len(values)
     blocks = np.full(-(-n // width) * width, filler, np.uint64)
     blocks[:n] = values
@@ -83,7 +89,9 @@ def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "key": np.repeat(batch["key"].to_numpy(), [len(p[1]) for p in parts]),
             "pos": np.concatenate([p[1] for p in parts]).astype("int32"),
             "gram": np.concatenate([p[2] for p in parts]).astype(np.uint64).view("int64"),
-            "around": np.concatenate([p[3] for p in parts]).astype(np.uint64).view("int64")})
+            "first": np.concatenate([p[3] for p in parts]).astype("int32"),
+            "starts": np.concatenate([p[4] - p[3] + 1 for p in parts]).astype("int16"),
+            "around": np.concatenate([p[5] for p in parts]).astype(np.uint64).view("int64")})
 
 
 def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,8 +102,8 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = text.encode()
             for place in places:
                 if not place["many"]:
-                    first = max(0, place["pos"] - (LENGTH - GRAM))
-                    out.append((key, place["gram"], first, raw[first:place["pos"] + LENGTH]))
+                    first = place["first"]
+                    out.append((key, place["gram"], first, raw[first:first + place["starts"] - 1 + LENGTH]))
         yield pd.DataFrame(out, columns=["key", "gram", "first", "data"])
 
 
@@ -107,12 +115,13 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text, places in zip(batch["key"], batch["text"], batch["places"]):
             at = np.array([p["pos"] for p in places if p["many"]], np.int64)
             gram = np.array([p["gram"] for p in places if p["many"]], np.int64).view(np.uint64)
-            raw = text.encode()
-            hashes, n = hashed(raw), len(raw)
+            start = np.array([p["first"] for p in places if p["many"]], np.int64)
+            end = start + np.array([p["starts"] for p in places if p["many"]], np.int64) - 1
+            hashes = hashed(text.encode())
             # counted from the anchor, so equal places share a block
             begin = at[:, None] + BLOCK * np.arange(-((LENGTH - GRAM) // BLOCK), 1)
-            first = np.maximum(begin, np.maximum(at - (LENGTH - GRAM), 0)[:, None])
-            last = np.minimum(begin + BLOCK - 1, np.minimum(at, n - LENGTH)[:, None])
+            first = np.maximum(begin, start[:, None])
+            last = np.minimum(begin + BLOCK - 1, end[:, None])
             fine = first <= last
             i = np.nonzero(fine)[0]
             begin, first, last = begin[fine], first[fine], last[fine]
@@ -244,27 +253,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.col("text").cast("binary"), 256).alias("whole")))
     twice = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = stored(base.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInPandas(
-        _find_anchors, "key long, pos int, gram long, around long"))
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    joined = stored(found.join(shared, "gram").select("key", "pos", "gram", "around", (F.col("low") == F.col("high")).alias("alike")))
+        _find_anchors, "key long, pos int, gram long, first int, starts short, around long"))
+    # stored, so that the join with it can split the rows of a frequent anchor over tasks
+    shared = stored(found.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1"))
+    joined = stored(found.join(shared, "gram").select(
+        "key", "pos", "gram", "first", "starts", "around", (F.col("low") == F.col("high")).alias("alike")))
     mixed = joined.where("not alike")
-    kinds = mixed.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("one"))
+    kinds = mixed.groupBy("gram", "around").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos", "first", "starts")).alias("one"))
     kinds = stored(kinds)
     many = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    chosen = kinds.join(many, "gram").select("one.key", "one.pos", "gram", (F.col("kinds") > MANY).alias("many"))
-    alike = joined.where("alike").select("key", "pos").union(
-        mixed.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"]).select("key", "pos"))
+    chosen = kinds.join(many, "gram").select("one.*", "gram", (F.col("kinds") > MANY).alias("many"))
+    alike = joined.where("alike").select("key", "first", "starts").union(mixed.join(
+        kinds.where("n > 1").select("gram", "around"), ["gram", "around"]).select("key", "first", "starts"))
     # texts with any shared anchor, with the anchors to compare and those known to repeat
-    places = chosen.groupBy("key").agg(F.collect_list(F.struct("pos", "gram", "many")).alias("places"))
-    known = alike.groupBy("key").agg(F.collect_list("pos").alias("alike"))
+    places = chosen.groupBy("key").agg(F.collect_list(F.struct("pos", "gram", "first", "starts", "many")).alias("places"))
+    known = alike.groupBy("key").agg(F.collect_list(F.struct("first", "starts")).alias("alike"))
     wanted = places.join(known, "key", "full")
     touched = stored(base.select("key", "text").join(wanted, "key"))
     around = touched.where("exists(places, p -> not p.many)").select("key", "text", "places").mapInPandas(
         _surroundings, "key long, gram long, first int, data binary")
     sharded = around.repartition("gram").sortWithinPartitions("gram")
     spans = sharded.mapInPandas(_shards, "key long, first int, past int").union(_frequent(touched)).union(
-        touched.where("alike is not null").select("key", F.explode("alike").alias("pos"), F.octet_length("text").alias("n")).select(
-            "key", F.greatest(F.lit(0), F.col("pos") - (LENGTH - GRAM)).alias("first"), F.least("n", F.col("pos") + LENGTH).alias("past")))
+        touched.where("alike is not null").select("key", F.explode("alike").alias("a")).select(
+            "key", "a.first", (F.col("a.first") + F.col("a.starts") + (LENGTH - 1)).alias("past")))
     by_text = spans.groupBy("key").agg(F.collect_set(F.struct("first", "past")).alias("spans"))
     cut = touched.select("key", "text").join(by_text, "key").mapInPandas(
         _cut, "key long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["key"])

@@ -98,6 +98,40 @@ def test_repeats(docs, rows, nothing, many, monkeypatch):
         assert repeats.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("many", [repeats.MANY, 0])
+def test_repeats_around_frequent_and_periodic_anchors(spark, many, monkeypatch):
+    monkeypatch.setattr(repeats, "MANY", many)
+    rng = np.random.default_rng(11)
+
+    def noise(n):
+        return "".join(rng.choice(list("abcdefgh"), n))
+
+    passage, period = noise(230), noise(37)
+    rows = [(i, noise(int(rng.integers(0, 300))) + passage[k:] + noise(50)) for i, k in enumerate([0, 0, 20, 31, 40])]
+    rows += [(10, "=" * 420), (11, "-" * 199 + "="), (12, period * 12), (13, noise(30) + period * 6), (14, rows[0][1][5:250])]
+    got = Counter(tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_repeats(rows)
+
+
+def test_each_start_has_one_anchor():
+    rng = np.random.default_rng(7)
+    width = repeats.LENGTH - repeats.GRAM + 1
+    for raw in (bytes(rng.integers(97, 123, 5000, np.uint8)), b"=" * 700, b"abc" * 200 + bytes(rng.integers(97, 99, 900, np.uint8)), b"x" * 200):
+        at, gram, first, last, _ = repeats.anchors(raw)
+        assert first[0] == 0 and last[-1] == len(raw) - repeats.LENGTH and (first[1:] == last[:-1] + 1).all()
+        assert ((first >= at - width + 1) & (last <= at)).all()
+        hashes = {}
+        for p, g in zip(at.tolist(), gram.tolist()):
+            assert hashes.setdefault(raw[p:p + repeats.GRAM], g) == g
+        for p, a, b in zip(at.tolist(), first.tolist(), last.tolist()):  # the first of equal strings, so equal strings agree
+            assert raw.find(raw[p:p + repeats.GRAM], a) == p
+        # a string moved elsewhere has the same anchor at the same place
+        for s in range(0, len(raw) - repeats.LENGTH + 1, 97):
+            k = int(np.searchsorted(first, s, "right")) - 1
+            alone = repeats.anchors(raw[s:s + repeats.LENGTH])
+            assert (alone[0][0], alone[1][0]) == (at[k] - s, gram[k])
+
+
 def test_packing(docs, rows, nothing):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     got = packing.pack(docs, TOKENIZER).toPandas().sort_values(["sequence_id", "offset"])
