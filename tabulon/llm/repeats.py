@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     twice = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = stored(base.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInPandas(
         _find_anchors, "key long, pos int, gram long, first int, starts short, around long"))
-    # stored, so that the join with it can split the rows of a frequent anchor over tasks
+    # stored (as ``many`` below), so that the join with it can split the rows of a frequent anchor over tasks
     shared = stored(found.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1"))
     joined = stored(found.join(shared, "gram").select(
@@ -263,8 +263,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kinds = mixed.groupBy("gram", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos", "first", "starts")).alias("one"))
     kinds = stored(kinds)
-    many = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    chosen = kinds.join(many, "gram").select("one.*", "gram", (F.col("kinds") > MANY).alias("many"))
+    many = stored(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MANY).select("gram", F.lit(True).alias("many")))
+    chosen = kinds.join(many, "gram", "left").select("one.*", "gram", F.coalesce("many", F.lit(False)).alias("many"))
     alike = joined.where("alike").select("key", "first", "starts").union(mixed.join(
         kinds.where("n > 1").select("gram", "around"), ["gram", "around"]).select("key", "first", "starts"))
     # texts with any shared anchor, with the anchors to compare and those known to repeat
